@@ -57,12 +57,14 @@ def ngram_tokens(tokens: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` neighbouring tokens, joined by a blank."""
     if not 1 <= low <= high:
         raise ValueError("need 1 <= low <= high")
-    parts = []
-    for n in range(low, high + 1):
+
+    def runs(n: int) -> Column:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
             F.array().cast("array<int>")
         )
-        parts.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    parts = [tokens if n == 1 else runs(n) for n in range(low, high + 1)]
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 

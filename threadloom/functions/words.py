@@ -51,15 +51,20 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 @functools.lru_cache(maxsize=None)
 def language_stop_words(name: str) -> tuple[str, ...]:
-    """The stop-word list that ships with Spark MLlib, read from its jar.
+    """The stop-word list that ships with Spark MLlib.
 
-    Equal to ``StopWordsRemover.loadDefaultStopWords(name)`` but needs no JVM,
-    so plans and SQL text can be built before a session exists.
+    Read from the MLlib jar where that is at hand, so that plans and SQL text
+    can be built before a session exists; otherwise asked from the session.
     """
-    pattern = os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")
-    with zipfile.ZipFile(sorted(glob.glob(pattern))[0]) as jar:
-        data = jar.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt")
-    return tuple(w for w in data.decode("utf-8").split("\n") if w)
+    homes = [os.path.dirname(pyspark.__file__), os.environ.get("SPARK_HOME", "")]
+    for home in homes:
+        for path in sorted(glob.glob(os.path.join(home, "jars", "spark-mllib_*.jar"))):
+            with zipfile.ZipFile(path) as jar:
+                data = jar.read(f"org/apache/spark/ml/feature/stopwords/{name}.txt")
+            return tuple(w for w in data.decode("utf-8").split("\n") if w)
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(StopWordsRemover.loadDefaultStopWords(name))
 
 
 def default_stop_words() -> list[str]:
