@@ -53,7 +53,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, document, topic, lang)``; the source stands for a topic."""
     table = read_table(spark, folder, "documents")
     return spread_small(
-        table.select("doc_id", F.col("text").alias("document"), F.col("source").alias("topic"), "lang"), "doc_id"
+        table.select("doc_id", F.col("text").alias("document"), F.col("source").alias("topic"), "lang")
     )
 
 
@@ -161,12 +161,16 @@ def cosine_sql(a: str, b: str) -> str:
 # Plans used by several queries ---------------------------------------------
 
 
-def topic_tokens(spark: SparkSession, folder: str) -> DataFrame:
+def tokens_of(docs: DataFrame) -> DataFrame:
     """``(doc_id, topic, word)`` without stop words."""
     from threadloom.operators.joins import drop_stop_words
     from threadloom.operators.tokens import tokenize
 
-    return drop_stop_words(tokenize(documents(spark, folder), keep=("doc_id", "topic"), position=False), STOP)
+    return drop_stop_words(tokenize(docs, keep=("doc_id", "topic"), position=False), STOP)
+
+
+def topic_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens_of(documents(spark, folder))
 
 
 def class_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,11 +201,12 @@ def representative(spark: SparkSession, folder: str, n: int = 3) -> DataFrame:
     """``(topic, rank, doc_id, similarity, document)``."""
     from threadloom.operators import ranking as rk
     from threadloom.operators.weighting import ctfidf
+    from threadloom.session import cut_lineage
 
     docs = documents(spark, folder)
-    tokens = topic_tokens(spark, folder)
-    counts = class_counts(spark, folder)
-    picked = rk.representative_docs(rk.candidate_counts(tokens, docs), counts, ctfidf(counts), n)
+    # read by four parts of the plan
+    counts = cut_lineage(class_counts(spark, folder))
+    picked = rk.representative_docs(rk.candidate_counts(docs, tokens_of), counts, ctfidf(counts), n)
     return picked.join(docs.select("doc_id", "document"), "doc_id")
 
 

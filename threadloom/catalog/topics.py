@@ -196,8 +196,8 @@ def _(spark, d):
 
 @query("mmr_docs")
 def _(spark, d):
-    docs, tokens, counts = rg.documents(spark, d), rg.topic_tokens(spark, d), rg.class_counts(spark, d)
-    candidates = cut_lineage(rk.candidate_counts(tokens, docs))
+    docs, counts = rg.documents(spark, d), cut_lineage(rg.class_counts(spark, d))
+    candidates = cut_lineage(rk.candidate_counts(docs, rg.tokens_of))
     similarity = rk.doc_topic_cosine(candidates, counts, wt.ctfidf(counts))
     return rp.mmr_docs(wt.ctfidf_of_documents(candidates, counts), similarity, 5, 0.1)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.functions import text as tx
 from threadloom.functions.words import STOP_WORD_LANGUAGES, language_stop_words
+from threadloom.operators.tokens import compute_once
 
 
 def clean_documents(df: DataFrame, column: str = "document") -> DataFrame:
@@ -53,8 +54,8 @@ def token_min_chars(tokens: DataFrame, n: int) -> DataFrame:
 
 def min_words_docs(counts: DataFrame, n: int) -> DataFrame:
     """Keep documents with at least ``n`` words; input is the long ``(doc_id, word, n)`` table."""
-    totals = counts.groupBy("doc_id").agg(F.sum("n").alias("_words")).filter(F.col("_words") >= n)
-    return counts.join(totals.select("doc_id"), "doc_id", "left_semi")
+    words = F.sum("n").over(Window.partitionBy("doc_id"))
+    return counts.withColumn("_words", words).filter(F.col("_words") >= n).drop("_words")
 
 
 def detect_language(df: DataFrame, column: str = "document", lists: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -72,9 +73,9 @@ def detect_language(df: DataFrame, column: str = "document", lists: Mapping[str,
 
     votes = F.array(*[F.struct((-hits(lists[c])).alias("h"), F.lit(c).alias("code")) for c in sorted(lists)])
     best = F.array_min(votes)
+    rows = compute_once(df, "_tokens", tx.vectorizer_tokens(F.col(column)))
     return (
-        df.withColumn("_tokens", tx.vectorizer_tokens(F.col(column)))
-        .withColumn("_best", best)
+        compute_once(rows, "_best", best)
         .withColumn("language_hits", (-F.col("_best.h")).cast("bigint"))
         .withColumn("language", F.when(F.col("_best.h") < 0, F.col("_best.code")))
         .drop("_tokens", "_best")

@@ -48,8 +48,8 @@ def class_term_counts(tokens: DataFrame, topic: str = "topic") -> DataFrame:
 
 def document_frequency(counts: DataFrame) -> DataFrame:
     """``(word, df)`` from the long document-term matrix, whose (doc_id, word) pairs are unique."""
-    # counting n (never null) keeps that column in the plan, so the exchange below is shared
-    return counts.groupBy("word").agg(F.count("n").alias("df"))
+    # every pair counts one; written with n, so that the plan below keeps it and its exchange is shared
+    return counts.groupBy("word").agg(F.sum(F.least("n", F.lit(1).cast("bigint"))).alias("df"))
 
 
 def document_count(counts: DataFrame) -> DataFrame:
@@ -74,11 +74,12 @@ def df_prune(
     """
     if n_docs is None:
         n_docs = document_count(counts)
-    df = document_frequency(counts)
-    if not isinstance(min_df, float) and not isinstance(max_df, float):
-        return df.filter(F.col("df").between(min_df, max_df))
+    return _within_df(document_frequency(counts), n_docs, min_df, max_df)
+
+
+def _within_df(words: DataFrame, n_docs: DataFrame, min_df: int | float, max_df: int | float) -> DataFrame:
     low, high = df_bounds(n_docs.scalar(), min_df, max_df)
-    return df.filter((F.col("df") >= low) & (F.col("df") <= high))
+    return words.filter((F.col("df") >= low) & (F.col("df") <= high))
 
 
 def topic_sizes(docs: DataFrame, topic: str = "topic") -> DataFrame:
@@ -114,14 +115,6 @@ def mean_vectors(vectors: DataFrame, key: str = "topic", column: str = "embeddin
     return rows.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(key, vector_to_array("_m").alias(name))
 
 
-def vocabulary_limit(counts: DataFrame, max_features: int | None) -> DataFrame:
-    """Words with the highest total count (``max_features``), ties alphabetical; None keeps all."""
-    totals = counts.groupBy("word").agg(F.sum("n").alias("total"))
-    if max_features is None:
-        return totals
-    return totals.orderBy(F.desc("total"), "word").limit(max_features)
-
-
 def preprocess_corpus(
     docs: DataFrame,
     stop_words: Sequence[str] = (),
@@ -151,11 +144,18 @@ def preprocess_corpus(
         tokens = lemmatize(tokens, lemmas)
     tokens = token_min_chars(drop_stop_words(tokens, stop_words), min_chars)
     counts = doc_term_counts(tokens)
-    n_docs = docs.agg(F.count("*").alias("n_docs"))
-    if (min_df, max_df) != (1, 1.0):
-        counts = counts.join(df_prune(counts, min_df, max_df, n_docs).select("word"), "word", "left_semi")
+    words = None
+    if (min_df, max_df) != (1, 1.0) or max_features is not None:
+        # one table of word totals gives both limits
+        one = F.least("n", F.lit(1).cast("bigint"))
+        words = counts.groupBy("word").agg(F.sum(one).alias("df"), F.sum("n").alias("total"))
+        words = _within_df(words, docs.agg(F.count("*").alias("n_docs")), min_df, max_df)
     if vocabulary is not None:
-        counts = counts.join(vocabulary.select("word"), "word", "left_semi")
+        known = vocabulary.select("word").distinct()
+        words = known if words is None else words.join(known, "word")
     if max_features is not None:
-        counts = counts.join(vocabulary_limit(counts, max_features).select("word"), "word", "left_semi")
+        words = words.orderBy(F.desc("total"), "word").limit(max_features)
+    if words is not None:
+        # an inner join with unique words; a semi join would be moved below the counting, onto raw tokens
+        counts = counts.join(words.select("word"), "word")
     return min_words_docs(counts, min_words) if min_words > 0 else counts

@@ -6,7 +6,7 @@ side by Spark (window group limit), so hot keys do not reach one task whole.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,13 +182,14 @@ def doc_topic_cosine(
     )
 
 
-def candidate_counts(tokens: DataFrame, docs: DataFrame, samples: int = 500, seed: int = 42) -> DataFrame:
-    """``(topic, doc_id, word, n)`` of the sampled documents of each topic."""
-    chosen = sample_per_topic(docs.select("topic", "doc_id"), samples, seed)
-    return tokens.select("doc_id", "word").join(chosen, "doc_id").groupBy("topic", "doc_id", "word").agg(
-        F.count("*").alias("n")
-    )
-
+def candidate_counts(
+    docs: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], samples: int = 500, seed: int = 42
+) -> DataFrame:
+    """``(topic, doc_id, word, n)`` of the sampled documents of each topic.
 
-def keep_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns)
+    ``docs`` is ``(doc_id, topic, document)``; only the sampled texts reach
+    ``tokens_of``, which returns ``(doc_id, topic, word)``.
+    """
+    chosen = sample_per_topic(docs.select("topic", "doc_id"), samples, seed)
+    sampled = docs.join(chosen.select("doc_id"), "doc_id")
+    return tokens_of(sampled).groupBy("topic", "doc_id", "word").agg(F.count("*").alias("n"))

@@ -125,8 +125,14 @@ def word_mean_vectors(candidates: DataFrame, tokens: DataFrame, embeddings: Data
     return mean_vectors(holders.join(embeddings.select("doc_id", "embedding"), "doc_id"), "word")
 
 
-def _mmr_order(sim: np.ndarray, pair: np.ndarray, ids: np.ndarray, n: int, diversity: float) -> list[int]:
-    """Positions chosen by maximal marginal relevance; ties go to the smaller id."""
+def _mmr_order(
+    sim: np.ndarray, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, diversity: float
+) -> list[int]:
+    """Positions chosen by maximal marginal relevance; ties go to the smaller id.
+
+    ``row``, ``term`` and ``weight`` are the non-zero cells of the candidates'
+    unit vectors; a pick costs one pass over them.
+    """
     chosen: list[int] = []
     worst = np.full(len(sim), -np.inf)
     while len(chosen) < min(n, len(sim)):
@@ -136,7 +142,9 @@ def _mmr_order(sim: np.ndarray, pair: np.ndarray, ids: np.ndarray, n: int, diver
         best = np.flatnonzero(value == value.max())
         pick = int(best[np.argmin(ids[best])])
         chosen.append(pick)
-        worst = np.maximum(worst, pair[pick])
+        dense = np.zeros(term.max(initial=-1) + 1)
+        dense[term[row == pick]] = weight[row == pick]
+        worst = np.maximum(worst, np.bincount(row, weight * dense[term], minlength=len(sim)))
     return chosen
 
 
@@ -168,20 +176,14 @@ def mmr_docs(weights: DataFrame, similarity: DataFrame, n: int = 10, diversity:
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("doc_id").reset_index(drop=True)
-        bags = []
-        for words, values in zip(pdf["words"], pdf["weights"]):
-            v = np.asarray(values, dtype=float)
-            length = np.sqrt((v * v).sum()) or 1.0
-            bags.append(dict(zip(words, v / length)))
-        pair = np.zeros((len(bags), len(bags)))
-        for i, a in enumerate(bags):
-            pair[i, i] = 1.0
-            for j in range(i):
-                b = bags[j]
-                small, large = (a, b) if len(a) < len(b) else (b, a)
-                pair[i, j] = pair[j, i] = sum(x * large.get(k, 0.0) for k, x in small.items())
+        sizes = pdf["words"].str.len().to_numpy()
+        row = np.repeat(np.arange(len(pdf)), sizes)
+        term = pd.factorize(np.concatenate(pdf["words"].to_list()))[0]
+        weight = np.concatenate(pdf["weights"].to_list()).astype(float)
+        length = np.sqrt(np.bincount(row, weight * weight, minlength=len(pdf)))
+        weight = weight / np.where(length > 0, length, 1.0)[row]
         ids = pdf["doc_id"].to_numpy()
-        order = _mmr_order(pdf["similarity"].to_numpy(dtype=float), pair, ids, n, share)
+        order = _mmr_order(pdf["similarity"].to_numpy(dtype=float), ids, row, term, weight, n, share)
         out = pdf.iloc[order][["topic", "doc_id", "similarity"]].copy()
         out.insert(1, "rank", range(1, len(order) + 1))
         return out

@@ -17,6 +17,15 @@ TOKENIZERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose costly expression must not be copied into every place that uses it.
+
+    The optimizer repeats a projected expression in filters and lambdas above
+    it, but not the output of a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def tokenize(
     df: DataFrame,
     column: str = "document",

@@ -40,13 +40,13 @@ def ctfidf_of_documents(doc_counts: DataFrame, class_counts: DataFrame, reduce_f
     """
     _, mean = class_statistics(class_counts)
     words = class_counts.groupBy("word").agg(F.sum("n").alias("n_word"))
-    sizes = doc_counts.groupBy("doc_id").agg(F.sum("n").alias("n_doc"))
+    # a window over one document's words; a join would read the texts a second time
+    doc_counts = doc_counts.withColumn("n_doc", F.sum("n").over(Window.partitionBy("doc_id")))
     share = F.col("n") / F.col("n_doc")
     if reduce_frequent_words:
         share = F.sqrt(share)
     return (
         doc_counts.join(words, "word")
-        .join(sizes, "doc_id")
         .select("topic", "doc_id", "word", (share * F.log(1 + mean.scalar() / F.col("n_word"))).alias("weight"))
     )
 

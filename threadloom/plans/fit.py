@@ -146,9 +146,9 @@ def fit_topics(
     scores = cut_lineage(wt.ctfidf(class_counts, cfg.reduce_frequent_words))
     base = cut_lineage(rk.base_words(scores, cfg.top_n_words))
 
-    chosen = rk.sample_per_topic(numbered, cfg.samples_per_topic, cfg.seed)
-    sampled = topic_tokens(docs.join(chosen, "doc_id"), cfg)
-    doc_counts = cut_lineage(sampled.groupBy("topic", "doc_id", "word").agg(F.count("*").alias("n")))
+    doc_counts = cut_lineage(
+        rk.candidate_counts(topical, lambda some: topic_tokens(some, cfg), cfg.samples_per_topic, cfg.seed)
+    )
     similarity = cut_lineage(rk.doc_topic_cosine(doc_counts, class_counts, scores, cfg.reduce_frequent_words))
 
     def with_text(picked: DataFrame) -> DataFrame:

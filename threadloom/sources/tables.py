@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_INPUT = 1 << 30
 
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
+def spread_small(df: DataFrame) -> DataFrame:
     """Give a small input one partition per core.
 
     A file with a single row group is read by one task, which then does all
@@ -18,7 +18,7 @@ def spread_small(df: DataFrame, key: str) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= SMALL_INPUT:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
