@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.clustering import KMeans
@@ -87,6 +88,30 @@ def dbscan_level(edges: DataFrame, nodes: DataFrame, level: float, min_size: int
     )
 
 
+def level_grid(edges: DataFrame, levels: int, bins: int = 4_096) -> list[float]:
+    """At most ``levels`` distances, evenly spread over the edges, from the smallest to the largest weight.
+
+    Read off a histogram on a log scale, which unlike a quantile sketch does
+    not depend on the order of the rows.
+    """
+    low, high = edges.filter("weight > 0").agg(F.min("weight"), F.max("weight")).first()
+    if low is None:
+        return []
+    if high <= low:
+        return [high]
+    width = math.log(high / low) / bins
+    place = F.least(F.floor(F.log(F.col("weight") / F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+    counts = edges.filter("weight > 0").groupBy(place.alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()
+    total, seen, share, grid = sum(r["n"] for r in counts), 0, 1, [low]
+    for r in counts:
+        seen += r["n"]
+        # a bin that completes one or more shares of the edges ends a level
+        if seen * (levels - 1) >= share * total:
+            grid.append(high if r["b"] == bins - 1 else low * math.exp(width * (r["b"] + 1)))
+            share = seen * (levels - 1) // total + 1
+    return sorted({*grid, high})
+
+
 def density_clusters(
     vectors: DataFrame,
     min_topic_size: int = 100,
@@ -136,9 +161,11 @@ def density_clusters(
         .join(core.select(F.col("id").alias("dst"), F.col("core").alias("_b")), "dst")
         .select("src", "dst", F.greatest("_a", "_b", "distance").alias("weight"))
     )
-    grid = sorted({q for q in edges.approxQuantile("weight", [i / (levels - 1) for i in range(levels)], 0.002)})
+    grid = level_grid(edges, levels)
     if not grid:
         return rows.select("doc_id", F.lit(-1).alias("topic"), F.lit(0.0).alias("strength"))
+    # a level below all edges: there only a pile of copies can be a component
+    grid = [grid[0] / 2] + grid
     floor = max(grid[-1] * 1e-3, 1e-12)
     lam = [1.0 / max(g, floor) for g in grid]
     top = len(grid) - 1
