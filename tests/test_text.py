@@ -153,6 +153,15 @@ def test_npmi_in_groups_of_topics(spark, monkeypatch):
     assert sorted(map(tuple, ev.topic_coherence(docs, listed(spark), 3).collect())) == whole
 
 
+def test_cooccurrence_with_a_long_word_table(spark, monkeypatch):
+    docs = tiny(spark).select("doc_id", tx.vectorizer_tokens(F.col("document")).alias("tokens"))
+    words = ct.word_counts(tk.tokenize(tiny(spark))).filter("word <> 'home'")
+    short = sorted(map(tuple, ev.cooccurrence(docs, words, 3).collect()))
+    monkeypatch.setattr(ev, "LITERAL_LIMIT", 2)
+    assert sorted(map(tuple, ev.cooccurrence(docs, words, 3).collect())) == short
+    assert ("care", "visit", 2) in short and not any("home" in r for r in short)
+
+
 def test_unique_words(spark):
     def lists(df):
         out = [[] for _ in WORD_LISTS]

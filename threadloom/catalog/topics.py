@@ -230,7 +230,7 @@ WINDOWS = """
 
 
 def token_arrays(spark, d):
-    return rg.documents(spark, d).select(tx.vectorizer_tokens(F.col("document")).alias("tokens"))
+    return rg.documents(spark, d).select("doc_id", tx.vectorizer_tokens(F.col("document")).alias("tokens"))
 
 
 FREQUENT = f"""WITH {rg.KEPT}, top AS (SELECT word FROM kept GROUP BY ALL HAVING count(*) > 1000)"""
@@ -238,9 +238,7 @@ FREQUENT = f"""WITH {rg.KEPT}, top AS (SELECT word FROM kept GROUP BY ALL HAVING
 
 @query("cooccurrence", f"{FREQUENT}, {WINDOWS.strip()} SELECT w1, w2, n FROM p12")
 def _(spark, d):
-    frequent = ct.word_counts(rg.topic_tokens(spark, d), low=1000)
-    listed = sorted(r["word"] for r in frequent.select("word").limit(10_000).collect())
-    return ev.cooccurrence(token_arrays(spark, d), listed)
+    return ev.cooccurrence(token_arrays(spark, d), ct.word_counts(rg.topic_tokens(spark, d), low=1000))
 
 
 @query(
