@@ -209,11 +209,17 @@ def density_clusters(
         F.min(F.struct("a_level", "a_label")).alias("chain"),
         F.array_sort(F.collect_list(F.struct("a_level", "a_label"))).alias("path"),
     )
-    lam_col = F.array(*[F.lit(x) for x in lam])
-    gain = F.when(
-        F.col("level") < top, F.get(lam_col, F.col("level")) - F.get(lam_col, F.col("level") + 1)
-    ).otherwise(F.lit(0.0))
-    members = cut_lineage(chains.join(tree.select("level", "label", "size"), ["level", "label"]).withColumn("gain", F.col("size") * gain))
+    # one row per level
+    steps_table = F.broadcast(
+        vectors.sparkSession.createDataFrame(
+            [(i, x, x - lam[i + 1] if i < top else 0.0) for i, x in enumerate(lam)], "level int, lam double, step double"
+        )
+    )
+    members = cut_lineage(
+        chains.join(tree.select("level", "label", "size"), ["level", "label"])
+        .join(steps_table.select("level", "step"), "level")
+        .select("level", "label", "chain", "path", (F.col("size") * F.col("step")).alias("gain"))
+    )
     nodes = members.groupBy("chain").agg(
         F.sum("gain").alias("stability"), F.first("path").alias("path")
     ).withColumn("depth", F.size("path")).withColumn("parent", F.get("path", F.lit(1)))
@@ -249,7 +255,11 @@ def density_clusters(
     )
     placed = placed.join(chosen, "chain")
     of_point = placed.groupBy("id").agg(F.max(F.struct("chain", (-F.col("level")).alias("fine"))).alias("_b"))
-    of_point = of_point.select("id", F.col("_b.chain").alias("chain"), F.get(lam_col, -F.col("_b.fine")).alias("lam"))
+    of_point = cut_lineage(
+        of_point.select("id", F.col("_b.chain").alias("chain"), (-F.col("_b.fine")).alias("level"))
+        .join(steps_table.select("level", "lam"), "level")
+        .select("id", "chain", "lam")
+    )
     sizes = of_point.join(core.select("id", "copies"), "id").groupBy("chain").agg(
         F.sum("copies").alias("n"), F.max("lam").alias("_top")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,10 +47,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget how it was made.
+    """Write ``df`` to the shared checkpoint folder and go on from the written table.
 
     Used by loops and wherever a plan is read several times and must give the
-    same rows each time, also after an executor is lost.
+    same rows each time, also after an executor is lost.  A written table is
+    used rather than ``checkpoint()``, which keeps the size *estimate* of the
+    old plan: over a loop of joins that number multiplies without end until
+    planning takes longer than the work.  A table has its true size, by which
+    Spark also chooses the joins.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
