@@ -1,0 +1,105 @@
+"""Plain Python versions of the operators, and tables with odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+BENCH_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    assign = r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
+    found = [("assign", *m.span()) for m in re.finditer(assign, text) if len(m[2]) >= 8]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+
+
+def base_rules(text: str) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    words = WORDS.findall(text)
+    lines = [line for line in text.split("\n") if WORDS.search(line)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    times = Counter(windows)
+    hit = {i + k for i, w in enumerate(windows) if times[w] > 1 for k in range(5)}
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
+
+
+def contamination(text: str, benchmark: list[tuple[int, str]]) -> tuple[int, int, int, str, bool]:
+    words = BENCH_WORDS.findall(text.translate(LOWER))
+    hit, items = set(), set()
+    for item, body in benchmark:
+        test = BENCH_WORDS.findall((body or "").translate(LOWER))
+        size = min(13, len(test))
+        windows = {tuple(test[j : j + size]) for j in range(len(test) - size + 1)} if size else set()
+        for i in range(len(words) - size + 1) if size else ():
+            if tuple(words[i : i + size]) in windows:
+                items.add(str(item))
+                hit |= set(range(i, i + size))
+    digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return len(words), len(hit), len(items), digest, bool(hit) and 20 * len(hit) >= len(words)
+
+
+def shingles(text: str, size: int) -> frozenset:
+    words = WORDS.findall(text.translate(LOWER))
+    if not words:
+        return frozenset()
+    size = min(size, len(words))
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+
+
+def components(texts: dict[int, str], size: int) -> dict[int, int]:
+    """Smallest id that can be reached over links of Jaccard 0.8, by inverted lists over all shingles."""
+    sets = {i: shingles(t, size) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    by_shingle: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+    shared: Counter = Counter()
+    for ids in by_shingle.values():
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                shared[a, b] += 1
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in texts}
+
+
+ODD = [
+    (1, None),
+    (2, ""),
+    (3, " \n\t "),
+    (4, "one"),
+    (5, "One two three"),
+    (6, "one two three"),
+    (7, "a <|endoftext|> b  c\n\n d\x1c e don't  12345 \x85 İstanbul ſecret=abcdefgh1"),
+    (8, "password=hunter2 PASSWD: 'abcdefghij' token=secret=abcdefghijk AKIAABCDEFGHIJKL " + "0123456789abcdef" * 3),
+    (9, "word " * 3000),
+    (10, "x" * 30_000),
+    (11, "\n".join(["same line here again now"] * 12)),
+    (12, "\n".join(["same line here again now"] * 12)),
+    (12, "\n".join(["same line here again now"] * 12)),
+    (13, "api_key = \"Zx9$kQ!7vRt2Lm\" passphrase: correcthorse12 pwd=aaaaaaaaaaaaaa"),
+    (None, "no key at all but some words are here to be counted twice or so"),
+    (14, "ünïcödé wörds ärе hére and Über AND there, 中文字符 混在 一起 emoji 😀😀 end"),
+]
+
+
+def odd_docs(spark):
+    """Rows with nulls, empty and long texts, ties, repeated rows, and columns named like results."""
+    schema = "doc_id bigint, text string, n_words string, kept string, label bigint, _text string, value double, source string, lang string, n_chars bigint"
+    rows = [(i, t, "clash", None, 7, "clash", 1.0, None if i in (1, 4) else f"s{(i or 0) % 3}", "en", len(t) if t is not None else None) for i, t in ODD]
+    return spark.createDataFrame(rows, schema).repartition(3)

@@ -22,9 +22,13 @@ BAD, GOOD, NONE = 0, 1, 2
 DIMS = 1024
 #: Documents the scorer is fitted on (those with the smallest hash of their key); the label model sees all.
 FIT_DOCS = 4000
+#: Log odds below which a text goes; those of very short texts hang on a few words.
+LEAST_SCORE = -0.5
 
 SIGNS = re.compile(rb"[#*$%&<>|~^_=+\\]")
 UPPER, LOWER = re.compile(rb"[A-Z]"), re.compile(rb"[a-z]")
+#: Bytes that end a word of prose.
+CLOSING = b".,;:!?)\"']"
 
 
 def between(value: float, good: float, bad: float) -> int:
@@ -33,19 +37,28 @@ def between(value: float, good: float, bad: float) -> int:
 
 
 def votes(data: bytes, words: list[bytes]) -> tuple[int, ...]:
-    """What each labeller says of a text; a labeller may keep silent."""
+    """What each labeller says of a text; a labeller may keep silent.
+
+    Two or three labellers look at each fault (signs, capitals, shouting,
+    tables, repeats) from different sides, so their votes overlap.
+    """
     n = len(words)
     if not n:
-        return (NONE,) * 7
+        return (NONE,) * 10
     low, up = len(LOWER.findall(data)), len(UPPER.findall(data))
     same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+    bare = [w.rstrip(CLOSING) for w in words]
+    signed = sum(bool(w) and w[-1] < 128 and not w[-1:].isalnum() for w in bare)
     return (
         between(len(SIGNS.findall(data)) / n, 0.05, 0.3),
+        between(signed / n, 0.05, 0.3),
+        between(sum(not w.strip(b"|#*$%&<>-=+_~/\\") for w in words) / n, 0.05, 0.2),
         between(up / max(1, up + low), 0.3, 0.6) if n >= 5 else NONE,
-        between(same, 0.1, 0.3) if n >= 10 else NONE,
-        between(1 - len(set(words)) / n, 0.7, 0.85) if n >= 40 else NONE,
+        between(sum(len(w) > 1 and w.isupper() for w in bare) / n, 0.2, 0.5) if n >= 5 else NONE,
         between(data.count(b"!") / n, 0.1, 0.4),
-        between(sum(not w.isalnum() and len(w) == 1 and w < b"\x80" for w in words) / n, 0.05, 0.2),
+        between(same, 0.1, 0.3) if n >= 10 else NONE,
+        between(1 - len(set(words)) / n, 0.7, 0.85) if n >= 20 else NONE,
+        between(1 - len(set(zip(words, words[1:], strict=False))) / max(1, n - 1), 0.3, 0.6) if n >= 10 else NONE,
         between(len(data) / n, 12, 24) if n >= 10 else NONE,
     )
 
@@ -68,7 +81,7 @@ def vote_codes(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 @dataclass
 class LabelModel:
-    """``share[c, k, v]``: how often labeller k votes v on texts of class c; ``prior``: share of good texts."""
+    """``share[c, k, v]``: how often labeller k, where it votes, votes v on texts of class c; ``prior``: share of good texts."""
 
     prior: float
     share: np.ndarray
@@ -86,14 +99,15 @@ class LabelModel:
 def label_model(patterns: dict[int, int], rounds: int = 60) -> LabelModel:
     """Expectation-maximisation over the counts of vote patterns (at most 3 to the number of labellers).
 
-    Labellers are taken as independent given the class.  The first guess
+    Labellers are taken as independent given the class, and silence as no
+    evidence.  The first guess
     doubts every text that some labeller calls bad; each round estimates how
     the labellers vote in each class, and then each pattern's class.
     """
     codes = np.array(sorted(patterns), np.int64)
     counts = np.array([patterns[c] for c in codes.tolist()], float)
     digits = (codes[:, None] // 3 ** np.arange(N_LABELLERS)) % 3
-    one_hot = (digits[:, :, None] == np.arange(3)).astype(float)
+    one_hot = (digits[:, :, None] == np.arange(2)).astype(float)  # silence says nothing
     good = np.where((digits == BAD).any(axis=1), 0.1, 0.9)
     prior, share = 0.5, np.full((2, N_LABELLERS, 3), 1 / 3)
     for _ in range(rounds if len(codes) else 0):
@@ -119,8 +133,13 @@ SAME = bucket(b"=")
 
 
 def word_features(word: bytes) -> tuple[int, int]:
-    """Buckets of a word's shape (kinds of characters, runs as one) and of the word itself."""
-    return bucket(b"s" + RUNS.sub(rb"\1", word.translate(SHAPE))), bucket(b"w" + word.lower())
+    """Buckets of a word's shape (kinds of characters, runs as one) and of its last four characters' kinds.
+
+    The kinds, not the words: what stands for good or bad texts must not hang
+    on which words they happen to hold.
+    """
+    kinds = word.translate(SHAPE)
+    return bucket(b"s" + RUNS.sub(rb"\1", kinds)), bucket(b"e" + kinds[-4:])
 
 
 def repeats(words: list[bytes]) -> int:
@@ -174,7 +193,7 @@ def fit_quality(docs: DataFrame, fit_docs: int = FIT_DOCS, text: str = "text", k
     rows = table.select("_key", sides, array_to_vector("features").alias("features")).select("_key", "side.label", "side.w", "features")
     # one sorted part of bounded size: sums come out the same each time
     rows = cut_lineage(rows.repartition(1).sortWithinPartitions("_key", "label", "w"))
-    fitted = LogisticRegression(weightCol="w", regParam=1e-4, maxIter=60).fit(rows)
+    fitted = LogisticRegression(weightCol="w", regParam=1e-3, maxIter=60).fit(rows)
     return QualityModel(model, fitted.coefficients.toArray(), float(fitted.intercept))
 
 
@@ -195,7 +214,7 @@ def quality(docs: DataFrame, model: QualityModel | None = None, text: str = "tex
 
     ``n_bad`` and ``n_good`` are votes, ``posterior`` is the label model's
     chance that the text is good, ``score`` the linear scorer's log odds;
-    texts with a score of 0 or more are kept.
+    texts with a score of ``LEAST_SCORE`` or more are kept.
 
     Null and empty texts get no vote and the score 0: nothing speaks against
     them.  Null keys stay null; repeated rows count and are judged each; other
@@ -218,7 +237,7 @@ def quality(docs: DataFrame, model: QualityModel | None = None, text: str = "tex
                 "n_good": [v.count(GOOD) for v in found],
                 "posterior": [round(posterior.get(code_of(v), 0.5), 6) for v in found],
                 "score": scores,
-                "kept": [s >= 0 for s in scores],
+                "kept": [s >= LEAST_SCORE for s in scores],
             }
 
         return work
@@ -234,7 +253,7 @@ def drop_low_quality(docs: DataFrame, model: QualityModel | None = None, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for batch in slices(batches):
-            kept = [round(scorer.score((t or "").encode().split()), 6) >= 0 for t in batch.column(at).to_pylist()]
+            kept = [round(scorer.score((t or "").encode().split()), 6) >= LEAST_SCORE for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
