@@ -57,6 +57,7 @@ def test_near_duplicates_equal_brute_force(spark, odd):
 def test_groups_larger_than_a_hot_list(spark, monkeypatch):
     """Chains of edits, copies and a shared passage, with lists so short that all of them are hot."""
     monkeypatch.setattr(near_dups, "HOT", 6)
+    monkeypatch.setattr(near_dups, "BLOCK_DOCS", 16)
     draw = random.Random(2)
     word = lambda: f"w{draw.randrange(5000)}"
     passage = [word() for _ in range(60)]

@@ -17,13 +17,13 @@ from threadloom.session import cut_lineage
 #: Smallest hashes that make a sketch.
 SKETCH = 64
 #: A value in more sketches than this is hot: other values find the pairs that share it.
-HOT = 64
+HOT = 16
 #: log of the chance (1e-9) that two sets at the threshold share no retained value.
 MISS = 20.7
 #: How far below the threshold an estimate may lie: six standard deviations of a share of 0.8 among 64.
 SLACK = 0.3
-#: Rounds in which every list is compared with one of its members.
-STAR_ROUNDS = 2
+#: Documents on each side of a block of exact comparisons.
+BLOCK_DOCS = 128
 
 MIX, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -94,7 +94,7 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int, text: str, key: st
 
 
 def retained(classes: DataFrame) -> DataFrame:
-    """``(value, id, n)``: the values by which a class can be found.
+    """``(value, id, n, hot)``: the values by which a class can be found.
 
     Sets with Jaccard 0.8 or more share one of the first ``n // 5 + 1`` values
     in *any* common order of all values; here cold values come first, each
@@ -107,7 +107,7 @@ def retained(classes: DataFrame) -> DataFrame:
     hot = values.groupBy("value").count().filter(F.col("count") > HOT).select("value")
     hot_of = values.join(hot, "value").groupBy("id").agg(F.collect_list("value").alias("hot"))
     cold = F.when(F.col("hot").isNull(), F.col("sketch")).otherwise(F.array_except("sketch", "hot"))
-    seen = classes.join(hot_of, "id", "left").select("id", "n", "sketch", cold.alias("cold"))
+    seen = classes.join(hot_of, "id", "left").select("id", "n", "sketch", "hot", cold.alias("cold"))
     need = (F.floor(F.col("n") / 5) + 1).cast("int")
     share = F.size("cold") / F.size("sketch")
     likely = F.when(share > 0.2, F.ceil(F.lit(MISS) / F.log(share / 0.2))).otherwise(F.lit(1 << 30)).cast("int")
@@ -116,7 +116,8 @@ def retained(classes: DataFrame) -> DataFrame:
     first = F.slice("cold", F.lit(1), F.greatest(F.lit(1), F.least(take, F.size("cold"))))
     plain = F.slice("sketch", F.lit(1), F.least(need, F.lit(16)))
     picked = F.when(enough, first).otherwise(F.array_union(F.col("cold"), plain))
-    return seen.select("id", "n", F.explode(picked).alias("value"))
+    listed = seen.select("id", "n", "hot", F.explode(picked).alias("value"))
+    return listed.select("value", "id", "n", F.coalesce(F.array_contains("hot", F.col("value")), F.lit(False)).alias("hot"))
 
 
 def close_sizes() -> Column:
@@ -130,14 +131,18 @@ def estimate() -> Column:
     return F.size(F.array_intersect(F.array_intersect(union, F.col("sketch")), F.col("sketch2"))) / F.size(union)
 
 
-def links(pairs: DataFrame, classes: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs ``(id, id2)`` whose full sets have Jaccard 0.8 or more."""
+def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``(id, id2)`` whose sketches don't speak against a Jaccard of 0.8."""
     one = classes.select("id", "sketch")
     two = classes.select(F.col("id").alias("id2"), F.col("sketch").alias("sketch2"))
-    likely = pairs.join(one, "id").join(two, "id2").filter(estimate() >= 0.8 - SLACK).select("id", "id2")
+    return pairs.join(one, "id").join(two, "id2").filter(estimate() >= 0.8 - SLACK).select("id", "id2")
+
+
+def links(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs whose full sets have Jaccard 0.8 or more."""
     a = full.select(F.col("doc_id").alias("id"), F.col("shingles").alias("a"))
     b = full.select(F.col("doc_id").alias("id2"), F.col("shingles").alias("b"))
-    both = likely.join(a, "id").join(b, "id2")
+    both = pairs.join(a, "id").join(b, "id2")
     shared = F.size(F.array_intersect("a", "b"))
     return both.filter(100 * shared >= 80 * (F.size("a") + F.size("b") - shared)).select(F.col("id").alias("src"), F.col("id2").alias("dst"))
 
@@ -147,39 +152,80 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct()
 
 
-def star_pairs(lists: DataFrame, seed: int) -> DataFrame:
-    """Every member of a list with one other, unless both already are in one component.
-
-    The member is drawn by a hash that lists share in four kinds, so that
-    lists of one group draw few different ones.
-    """
-    draw = F.xxhash64(F.col("id"), F.pmod(F.col("value"), F.lit(4)), F.lit(seed))
-    centre = lists.groupBy("value").agg(F.min(F.struct(draw.alias("draw"), "id", "n", "label")).alias("c"))
-    centre = centre.select("value", F.col("c.id").alias("id2"), F.col("c.n").alias("n2"), F.col("c.label").alias("label2"))
-    met = lists.join(centre, "value").filter(F.col("label") != F.col("label2")).filter(close_sizes())
-    return ordered(met)
+def list_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs of lists that have at most ``HOT`` members."""
+    mates = lists.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"))
+    return ordered(lists.join(mates, "value").filter((F.col("id") < F.col("id2")) & close_sizes()))
 
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of a list that lie in different components.
+def star_pairs(lists: DataFrame) -> DataFrame:
+    """Every member of a list with one other.
 
-    Members of the component that most of a list belongs to are compared with
-    the others only, so a large group that is one component costs its list's
-    length times the few others.
+    That one is drawn by a hash that lists share in four kinds, so that the
+    lists of one group draw few different ones.
+    """
+    draw = F.xxhash64(F.col("id"), F.pmod(F.col("value"), F.lit(4)))
+    centre = lists.groupBy("value").agg(F.min(F.struct(draw.alias("draw"), "id", "n")).alias("c"))
+    centre = centre.select("value", F.col("c.id").alias("id2"), F.col("c.n").alias("n2"))
+    return ordered(lists.join(centre, "value").filter((F.col("id") != F.col("id2")) & close_sizes()))
+
+
+def block_links(left: pa.Table) -> pa.Table:
+    """Links of a block between its strays and its members, one a stray and component."""
+    ids, labels = left.column("id").to_pylist(), left.column("label").to_pylist()
+    sets = [np.asarray(x.values) for x in left.column("shingles").combine_chunks()]
+    stray = [k for k, s in enumerate(left.column("stray").to_pylist()) if s]
+    mate = [k for k, s in enumerate(left.column("stray").to_pylist()) if not s]
+    src, dst = [], []
+    if stray and mate:
+        # only what both sides have can be shared
+        common = np.intersect1d(np.unique(np.concatenate([sets[k] for k in stray])), np.unique(np.concatenate([sets[k] for k in mate])))
+
+        def rows(part: list[int]) -> np.ndarray:
+            out = np.zeros((len(part), len(common)), np.float32)
+            for r, k in enumerate(part):
+                at = np.searchsorted(common, sets[k])
+                at = at[at < len(common)]
+                own = sets[k][: len(at)]
+                out[r, at[common[at] == own]] = 1
+            return out
+
+        shared = np.rint(rows(stray) @ rows(mate).T)
+        sizes = np.array([len(s) for s in sets], float)
+        linked = 100 * shared >= 80 * (sizes[stray][:, None] + sizes[mate][None, :] - shared)
+        found = {}
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            a, b = stray[i], mate[j]
+            if labels[a] != labels[b]:
+                found.setdefault((a, labels[b]), b)
+        src, dst = [ids[a] for a, _ in found], [ids[b] for b in found.values()]
+    kind = left.schema.field("id").type
+    return pa.table({"src": pa.array(src, kind), "dst": pa.array(dst, kind)})
+
+
+def stray_links(lists: DataFrame, full: DataFrame) -> DataFrame:
+    """Links between members of a list that lie in different components.
+
+    The component most of a list belongs to is its main one.  All members that
+    meet in lists of one main component are a group, and those outside of it
+    are its strays: they are compared with all of the group by full sets,
+    ``BLOCK_DOCS`` against as many at a time.  A large group that is one
+    component has few strays; blocks never hold more than their two sides.
     """
     parts = lists.groupBy("value", "label").agg(F.count("*").alias("m"))
     most = parts.groupBy("value").agg(F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    seen = lists.join(most.select("value", F.col("most.label").alias("main")), "value")
-    others = seen.filter(F.col("label") != F.col("main"))
-    mates = seen.select("value", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    met = others.join(mates, "value").filter(F.col("label") != F.col("label2")).filter(close_sizes())
-    return ordered(met.filter((F.col("label2") == F.col("main")) | (F.col("id") < F.col("id2"))))
-
-
-def relabelled(lists: DataFrame, components: DataFrame) -> DataFrame:
-    """``lists`` with the label of each id's component (its own id if it has no link)."""
-    found = lists.drop("label").join(components.select("id", "label"), "id", "left")
-    return found.withColumn("label", F.coalesce("label", "id"))
+    met = lists.join(most.select("value", F.col("most.label").alias("main")), "value").select("main", "id", "label").distinct()
+    met = cut_lineage(met.withColumn("stray", F.col("label") != F.col("main")))
+    sides = met.groupBy("main").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("int")).alias("s"))
+    sides = sides.select("main", F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("n"), F.ceil(F.col("s") / BLOCK_DOCS).cast("int").alias("s"))
+    dealt = met.join(sides, "main").withColumn("h", F.xxhash64("id"))
+    place, row = F.pmod("h", "n").cast("int"), F.pmod("h", "s").cast("int")
+    # each stray meets every block of members, each member every block of strays
+    as_stray = dealt.filter("stray").select("main", "id", "label", "stray", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("place"))
+    as_mate = dealt.select("main", "id", "label", F.lit(False).alias("stray"), place.alias("place"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("row"))
+    blocks = as_stray.unionByName(as_mate).join(full.withColumnRenamed("doc_id", "id"), "id")
+    kind = lists.schema["id"].dataType.simpleString()
+    return blocks.groupBy("main", "row", "place").applyInArrow(block_links, f"src {kind}, dst {kind}")
 
 
 def components_of(edges: DataFrame) -> DataFrame:
@@ -198,9 +244,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, text: str = "text", key: str
     Equal sets are one class.  Bottom-k sketches come from one hash function;
     inverted lists of retained values give the pairs of classes, the sketch of
     a pair's union filters them, and full sets confirm them (as 63-bit
-    hashes).  Lists are not cut: first every member meets one other, and then
-    all pairs of a list that are not yet in one component are compared, which
-    loses no component.
+    hashes).  Lists are not cut: in a hot one every member first meets one
+    other, and members that are then not in the component of most are compared
+    with all of them by full sets in blocks, which loses no component.
 
     Null, empty and wordless texts have an empty set and are linked with
     nothing.  Rows that share a key are one document: what one of them is
@@ -214,21 +260,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, text: str = "text", key: str
             F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
         )
     )
-    entries = cut_lineage(retained(classes).withColumn("label", F.col("id")))
+    entries = cut_lineage(retained(classes))
     shared = entries.groupBy("value").count().filter(F.col("count") > 1).select("value")
     lists = cut_lineage(entries.join(shared, "value"))
-    listed = classes.select("id", "digest").join(lists.select("id").distinct(), "id")
-    full = cut_lineage(full_sets(docs, listed, size, text, key))
+    hot = lists.filter("hot").select("value", "id", "n")
+    # a pair of a list that is not hot is compared; a hot list's members meet one of them, and what this leaves apart in blocks
+    pairs = cut_lineage(likely(list_pairs(lists.filter("NOT hot")).union(star_pairs(hot)).distinct(), classes))
+    asked = pairs.select(F.explode(F.array("id", "id2")).alias("id")).union(hot.select("id")).distinct()
+    full = cut_lineage(full_sets(docs, classes.select("id", "digest").join(asked, "id"), size, text, key))
     # rows of one key with different texts
     twice = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a != b")
     own = known.join(twice.select("doc_id"), "doc_id").join(classes.select("digest", "id"), "digest").select("doc_id", "id")
     edges = own.join(own.groupBy("doc_id").agg(F.min("id").alias("dst")), "doc_id").select(F.col("id").alias("src"), "dst")
-    for step in range(STAR_ROUNDS + 1):
-        pairs = star_pairs(lists, step) if step < STAR_ROUNDS else cross_pairs(lists)
-        edges = cut_lineage(edges.union(links(pairs, classes, full)))
-        components = components_of(edges)
-        if step < STAR_ROUNDS:
-            lists = cut_lineage(relabelled(lists, components))
+    edges = cut_lineage(edges.union(links(pairs, full)))
+    labelled = hot.join(components_of(edges), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    components = components_of(cut_lineage(edges.union(stray_links(labelled, full))))
     by_class = classes.select("digest", "id").join(components, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
     found = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(by_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
