@@ -71,30 +71,53 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def corpus_counts(docs: DataFrame, trusted: DataFrame, text: str, key: str, n_buckets: int) -> DataFrame:
-    """``(bucket, raw, target)``: n-grams of all documents, and of the trusted ones, by hash bucket.
+def likely_among(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
+    """``docs`` (``_key, _text``) less most rows whose key is not among ``ids`` (``_trusted``).
 
-    Every task adds up its own documents and sends one row a bucket.
+    A bit map of the hashed ids, of ``bits`` bits whatever their number, goes
+    to every task.  A row too many passes where hashes meet, none too few; a
+    join with the ids settles it, and only what passes is shuffled for that.
     """
-    ids = trusted.select(F.col(key).alias("_trusted")).distinct()
-    both = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
-    marked = both.join(ids, F.col("_key") == F.col("_trusted"), "left").select("_text", F.col("_trusted").isNotNull().alias("_target"))
+    spot = F.pmod(F.xxhash64("_trusted"), F.lit(bits)) + 1
+    parts = ids.filter(F.col("_trusted").isNotNull()).groupBy(F.bitmap_bucket_number(spot).alias("b"))
+    found = np.zeros(bits // 8, np.uint8)
+    for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m")).collect():  # bits / 8 bytes at most
+        found[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    shared, schema = docs.sparkSession.sparkContext.broadcast(found), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            batch = pa.RecordBatch.from_arrays(batch.columns[:2], ["_key", "_text"])
+            yield batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+
+    return docs.select("_key", "_text", F.pmod(F.xxhash64("_key"), F.lit(bits)).alias("_spot")).mapInArrow(run, schema)
+
+
+def part_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """``(bucket, n)``, one row a task and bucket: every task adds up its own documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(hash_word)
-        counts = np.zeros((2, n_buckets), np.int64)
+        memo, counts = Memo(hash_word), np.zeros(n_buckets, np.int64)
         for batch in slices(batches):
-            parts: tuple[list, list] = ([], [])
-            for t, target in zip(texts(batch, "_text"), batch.column("_target").to_pylist(), strict=True):
-                parts[target].append(buckets(word_hashes(memo, t.encode().split()), n_buckets))
-            for k in (0, 1):
-                if parts[k]:
-                    counts[k] += np.bincount(np.concatenate(parts[k]), minlength=n_buckets)
-        used = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[:, used].sum(axis=0)), pa.array(counts[1, used])], ["bucket", "raw", "target"])
-
-    parts = marked.mapInArrow(run, "bucket bigint, raw bigint, target bigint")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+            found = [buckets(word_hashes(memo, t.encode().split()), n_buckets) for t in texts(batch, "_text")]
+            if found:
+                counts += np.bincount(np.concatenate(found), minlength=n_buckets)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["bucket", "n"])
+
+    return docs.select("_text").mapInArrow(run, "bucket bigint, n bigint")
+
+
+def corpus_counts(docs: DataFrame, trusted: DataFrame, text: str, key: str, n_buckets: int, bits: int = 1 << 26) -> DataFrame:
+    """``(bucket, raw, target)``: n-grams of all documents, and of the trusted ones, by hash bucket."""
+    ids = trusted.select(F.col(key).alias("_trusted")).distinct()
+    both = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
+    known = likely_among(both, ids, bits).join(ids, F.col("_key") == F.col("_trusted"))
+    raw = part_counts(both, n_buckets).withColumn("raw", F.col("n")).withColumn("target", F.lit(0))
+    target = part_counts(known, n_buckets).withColumn("raw", F.lit(0)).withColumn("target", F.col("n"))
+    return raw.union(target).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(counts: DataFrame, n_buckets: int) -> np.ndarray:
