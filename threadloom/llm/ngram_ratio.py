@@ -14,7 +14,7 @@ from threadloom.llm.common import ASCII_SPACE, Memo, map_texts, slices, texts
 
 SYMBOLS = b"#*$%&|<>"
 #: Hash buckets of the two multinomials, a power of two.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 13
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,7 +139,7 @@ def log_ratios(counts: DataFrame, n_buckets: int) -> np.ndarray:
 def quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
-    least_ratio: float = -0.25,
+    least_ratio: float = -0.06,
     n_buckets: int = BUCKETS,
     text: str = "text",
     key: str = "doc_id",
