@@ -186,7 +186,7 @@ def fit_topics(
     else:
         own = numbered.join(near.select("doc_id", F.col("similarity").alias("probability")), "doc_id")
     info = rp.topic_info(
-        ct.topic_sizes(numbered), words, rep, cfg.top_n_words, min(cfg.nr_representative_docs, 100)
+        ct.topic_sizes(numbered), words, rep, cfg.top_n_words, cfg.nr_representative_docs
     )
     full = None
     if cfg.calculate_probabilities:

@@ -56,7 +56,7 @@ def run_topic_job(
 def intermediate_table(tables: TopicTables, cfg: TopicJobConfig) -> DataFrame:
     sizes = tables.docs.groupBy("topic").agg(F.count("*").alias("count"))
     return intermediate_results(
-        sizes, tables.ctfidf_words, tables.representative_docs, cfg.top_n_words, min(cfg.nr_representative_docs, 100)
+        sizes, tables.ctfidf_words, tables.representative_docs, cfg.top_n_words, cfg.nr_representative_docs
     )
 
 
