@@ -217,10 +217,10 @@ def test_label_model_recovers_planted_accuracies():
     import numpy as np
 
     draw = np.random.default_rng(3)
-    n, right = 40_000, [0.95, 0.9, 0.85, 0.8, 0.9, 0.75, 0.7]
+    n, right = 40_000, [0.97, 0.95, 0.9, 0.95, 0.93, 0.9, 0.97, 0.85, 0.95, 0.9]
     truth = (draw.random(n) < 0.8).astype(int)
     votes = np.stack([np.where(draw.random(n) < 0.3, weak_quality.NONE, np.where(draw.random(n) < a, truth, 1 - truth)) for a in right], axis=1)
-    codes, counts = np.unique((votes * 3 ** np.arange(7)).sum(axis=1), return_counts=True)
+    codes, counts = np.unique((votes * 3 ** np.arange(weak_quality.N_LABELLERS)).sum(axis=1), return_counts=True)
     model = weak_quality.label_model(dict(zip(codes.tolist(), counts.tolist(), strict=True)))
     assert model.prior == pytest.approx(0.8, abs=0.03)
     assert model.accuracies == pytest.approx(right, abs=0.03)
