@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -93,6 +94,31 @@ def test_spelling(spark):
     assert fixes == {"recieve": ("receive", 2), "hause": ("house", 1)}
 
 
+def test_spelling_against_all_pairs(spark):
+    rng = random.Random(3)
+    known = sorted({"".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(60)})
+    other = sorted({"".join(rng.choices("abc", k=rng.randint(1, 11))) for _ in range(200)} - set(known)) + ["a" * 5000, "\U0001f600ab"]
+    n = {w: i % 7 for i, w in enumerate(known)}
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    expected = {}
+    for w in other:
+        near = [(e, -n[k], k) for k in known for e in [edits(w, k)] if e <= 2]
+        if near:
+            expected[w] = (min(near)[2], min(near)[0])
+    vocabulary = spark.createDataFrame([(w,) for w in other + known + [""]], "word string")
+    dictionary = spark.createDataFrame(list(n.items()), "word string, n bigint")
+    fixes = {r.word: (r.corrected, r.distance) for r in cn.spelling_table(vocabulary, dictionary).collect()}
+    assert fixes == expected and len(fixes) > 50
+
+
 def test_language(spark):
     docs = spark.createDataFrame([(0, "this is the house"), (1, "das ist nicht mein haus"), (2, "xyz")], "doc_id bigint, document string")
     got = {r.doc_id: r.language for r in cn.detect_language(docs).collect()}

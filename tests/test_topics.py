@@ -72,6 +72,19 @@ def test_summary_messages(spark):
     assert [r.seq for r in rows] == [0, 1, 2, 3] and rows[2].content.endswith("chunk: c")
 
 
+def test_summary_of_many_chunks(spark):
+    chunks = spark.range(8).select(F.col("id").alias("chunk"), F.col("id").cast("string").alias("chunk_text"))
+    rows = lb.summary_messages(chunks, per_chat=3).collect()
+    assert sorted((r.chat, r.seq) for r in rows) == [(0, i) for i in range(5)] + [(1, i) for i in range(5)] + [(2, i) for i in range(4)]
+
+    def complete(transcript):
+        said = [m["content"] for m in transcript if m["role"] == "user" and "chunk: " in m["content"]]
+        return " ".join(c.rsplit("chunk: ", 1)[1] for c in said)
+
+    assert [r.summary for r in lb.summarize_chunks(chunks, complete, per_chat=3).collect()] == ["0 1 2 3 4 5 6 7"]
+    assert lb.summarize_chunks(chunks.filter("chunk < 0"), complete).count() == 0
+
+
 def test_representation_chain(spark):
     base = spark.createDataFrame(
         [(0, i + 1, w, 1.0 - i / 10) for i, w in enumerate("abcd")], "topic int, rank int, word string, score double"
@@ -258,6 +271,8 @@ def test_lda_settings():
     assert lda.LdaSettings(num_topics=2, alpha="asymmetric").concentration() == pytest.approx([2 / 3, 1 / 3])
     assert lda.LdaSettings(num_topics=2, alpha="auto").estimator(10).getOptimizeDocConcentration()
     assert lda.LdaSettings(num_topics=2, chunksize=10).estimator(100).getSubsamplingRate() == 0.1
+    assert lda.LdaSettings(num_topics=2).estimator(10**9).getMaxIter() == 20
+    assert lda.LdaSettings(num_topics=2, passes=3, update_every=0).estimator(10**9).getMaxIter() == 3
     for bad in ({"alpha": "odd"}, {"alpha": [0.1]}, {"eta": [[1.0]]}, {"num_topics": 1}):
         with pytest.raises(ValueError):
             lda.LdaSettings(**{"num_topics": 2, **bad}).estimator(10)

@@ -25,7 +25,7 @@ def literal(text: str) -> str:
     SELECT topic, md5(replace(replace({literal(wd.PROMPT_LABEL)}, '[KEYWORDS]', k), '[DOCUMENTS]', d)) AS prompt FROM kw JOIN ds USING (topic)""",
 )
 def _(spark, d):
-    prompts = lb.build_prompts(rg.top_ten(spark, d), rg.representative(spark, d))
+    prompts = lb.build_prompts(*rg.words_and_docs(spark, d))
     return prompts.select("topic", rg.digest("prompt").alias("prompt"))
 
 
@@ -45,16 +45,15 @@ def _(spark, d):
     "summary_messages",
     rf"""WITH t AS (SELECT regexp_split_to_array(string_agg(text, ' ' ORDER BY doc_id), '{BLANK}+') AS w FROM documents),
     f AS (SELECT list_filter(w, lambda x: x <> '') AS w FROM t),
-    c AS (SELECT w, unnest(range(0, least(ceil(len(w) / 512.0), 7)::BIGINT)) AS chunk FROM f)
-    SELECT chunk + 1 AS seq, 'user' AS role,
+    c AS (SELECT w, unnest(range(0, ceil(len(w) / 512.0)::BIGINT)) AS chunk FROM f)
+    SELECT chunk // 7 AS chat, chunk % 7 + 1 AS seq, 'user' AS role,
         md5({literal(wd.PROMPT_SUMMARY_CHUNK)} || array_to_string(list_slice(w, chunk * 512 + 1, chunk * 512 + 512), ' ')) AS content FROM c
-    UNION ALL SELECT 0::BIGINT, 'user', md5({literal(wd.PROMPT_SUMMARY_START)})
-    UNION ALL SELECT max(chunk) + 2, 'user', md5({literal(wd.PROMPT_SUMMARY_END)}) FROM c""",
+    UNION ALL SELECT DISTINCT chunk // 7, 0::BIGINT, 'user', md5({literal(wd.PROMPT_SUMMARY_START)}) FROM c
+    UNION ALL SELECT chunk // 7, max(chunk % 7) + 2, 'user', md5({literal(wd.PROMPT_SUMMARY_END)}) FROM c GROUP BY 1""",
 )
 def _(spark, d):
-    # all texts are numbered; the job itself asks for the first seven chunks only
     chunks = cut_lineage(tk.corpus_chunks(rg.documents(spark, d), ["doc_id"], number_block("doc_id")))
-    return lb.summary_messages(chunks).select("seq", "role", rg.digest("content").alias("content"))
+    return lb.summary_messages(chunks).select("chat", "seq", "role", rg.digest("content").alias("content"))
 
 
 def raw_answers(spark, d):
@@ -101,4 +100,4 @@ def first_keyword(prompt: str) -> str:
     f"""WITH {rg.SCORES} SELECT topic, string_agg(word, ', ' ORDER BY rank) AS label FROM ranked WHERE rank <= 3 GROUP BY ALL""",
 )
 def _(spark, d):
-    return lb.label_topics(rg.top_ten(spark, d), rg.representative(spark, d), first_keyword)
+    return lb.label_topics(*rg.words_and_docs(spark, d), first_keyword)

@@ -122,15 +122,8 @@ TFIDF = DOC_COUNTS + """,
     total AS (SELECT count(DISTINCT doc_id) AS n_docs FROM dtm),
     raw AS (SELECT doc_id, word, n * log2(n_docs / df) AS w FROM dtm JOIN df USING (word), total WHERE n_docs > df),
     tfidf AS (SELECT doc_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
-SAMPLED = """,
-    sampled AS (
-        SELECT doc_id, topic FROM (
-            SELECT doc_id, source AS topic,
-                row_number() OVER (PARTITION BY source ORDER BY md5('42-' || doc_id::VARCHAR), doc_id) AS r
-            FROM documents
-        ) WHERE r <= 500
-    ),
-    cand AS (SELECT kept.topic, kept.doc_id, word, count(*) AS n FROM kept JOIN sampled USING (doc_id) GROUP BY ALL),
+RANKED_DOCS = """,
+    cand AS (SELECT topic, doc_id, word, count(*) AS n FROM kept GROUP BY ALL),
     cand_size AS (SELECT doc_id, sum(n) AS n_doc FROM cand GROUP BY ALL),
     doc_weights AS (
         SELECT topic, doc_id, word, sqrt(n / n_doc) * ln(1 + a / f) AS weight
@@ -146,7 +139,7 @@ SAMPLED = """,
         SELECT topic, doc_id, similarity, row_number() OVER (PARTITION BY topic ORDER BY similarity DESC, doc_id) AS rank
         FROM sims
     )"""
-REPS = SCORES + SAMPLED
+REPS = SCORES + RANKED_DOCS
 VECTORS = """
     vecs AS (SELECT vec_id AS doc_id, embedding::DOUBLE[] AS v, label::BIGINT AS topic FROM embeddings),
     cells AS (SELECT topic, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs),
@@ -197,17 +190,30 @@ def doc_counts(spark: SparkSession, folder: str) -> DataFrame:
     return doc_term_counts(topic_tokens(spark, folder))
 
 
-def representative(spark: SparkSession, folder: str, n: int = 3) -> DataFrame:
-    """``(topic, rank, doc_id, similarity, document)``."""
+def counted(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Words per document and per topic, from one look at the texts."""
+    from threadloom.operators import ranking as rk
+    from threadloom.session import cut_lineage
+
+    per_doc = cut_lineage(rk.candidate_counts(documents(spark, folder), tokens_of))
+    return per_doc, cut_lineage(rk.class_counts_of(per_doc))
+
+
+def words_and_docs(spark: SparkSession, folder: str, n: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Ten best words of each topic, and ``(topic, rank, doc_id, similarity, document)``."""
     from threadloom.operators import ranking as rk
     from threadloom.operators.weighting import ctfidf
     from threadloom.session import cut_lineage
 
-    docs = documents(spark, folder)
-    # read by four parts of the plan
-    counts = cut_lineage(class_counts(spark, folder))
-    picked = rk.representative_docs(rk.candidate_counts(docs, tokens_of), counts, ctfidf(counts), n)
-    return picked.join(docs.select("doc_id", "document"), "doc_id")
+    per_doc, counts = counted(spark, folder)
+    weights = ctfidf(counts)
+    picked = cut_lineage(rk.representative_docs(per_doc, counts, weights, n))
+    return rk.top_words(weights, 10), picked.join(documents(spark, folder).select("doc_id", "document"), "doc_id")
+
+
+def representative(spark: SparkSession, folder: str, n: int = 3) -> DataFrame:
+    """``(topic, rank, doc_id, similarity, document)``."""
+    return words_and_docs(spark, folder, n)[1]
 
 
 def centroids(spark: SparkSession, folder: str) -> DataFrame:

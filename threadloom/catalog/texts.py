@@ -444,7 +444,7 @@ def _(spark, d):
 @query(
     "chunk_words",
     f"""WITH t AS (SELECT doc_id, {SPLIT_SQL} AS w FROM documents),
-    c AS (SELECT doc_id, w, unnest(range(0, least(ceil(len(w) / 512.0), 7)::BIGINT)) AS chunk FROM t)
+    c AS (SELECT doc_id, w, unnest(range(0, ceil(len(w) / 512.0)::BIGINT)) AS chunk FROM t)
     SELECT doc_id, chunk, md5(array_to_string(list_slice(w, chunk * 512 + 1, chunk * 512 + 512), ' ')) AS chunk_md5 FROM c""",
 )
 def _(spark, d):

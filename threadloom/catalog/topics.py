@@ -106,8 +106,7 @@ INFO = f"""WITH {REPS},
 
 def topic_info(spark, d):
     sizes = ct.topic_sizes(rg.read_table(spark, d, "documents"), "source")
-    reps = rg.representative(spark, d)
-    return rp.topic_info(sizes, rg.top_ten(spark, d), reps)
+    return rp.topic_info(sizes, *rg.words_and_docs(spark, d))
 
 
 @query(
@@ -127,7 +126,7 @@ def _(spark, d):
 )
 def _(spark, d):
     sizes = ct.topic_sizes(rg.read_table(spark, d, "documents"), "source")
-    table = rp.intermediate_results(sizes, rg.top_ten(spark, d), rg.representative(spark, d))
+    table = rp.intermediate_results(sizes, *rg.words_and_docs(spark, d))
     docs = [F.md5(f"doc_{i}").alias(f"doc_{i}") for i in range(3)]
     return table.select("topic", "count", "ctfidf_words", *docs)
 
@@ -194,12 +193,34 @@ def _(spark, d):
     return rp.keyword_rerank(candidates, words, ct.mean_vectors(topics), 10)
 
 
-@query("mmr_docs")
+def mmr_sql(n: int, share: float) -> str:
+    """Each pick is compared with all documents of its topic that are left."""
+    steps = """,
+    units AS (SELECT topic, doc_id, word, weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)) AS u FROM doc_weights),
+    left1 AS (SELECT topic, doc_id, similarity, NULL::DOUBLE AS worst, similarity AS value FROM sims)"""
+    for k in range(1, n + 1):
+        steps += f""",
+    pick{k} AS (
+        SELECT topic, doc_id, similarity FROM left{k}
+        QUALIFY row_number() OVER (PARTITION BY topic ORDER BY value DESC, doc_id) = 1
+    ),
+    bag{k} AS (SELECT topic, word, u AS pu FROM units JOIN pick{k} USING (topic, doc_id)),
+    near{k} AS (SELECT topic, doc_id, sum(u * pu) AS near FROM units JOIN bag{k} USING (topic, word) GROUP BY ALL),
+    seen{k} AS (
+        SELECT l.topic, l.doc_id, l.similarity, greatest(l.worst, coalesce(near, 0)) AS worst
+        FROM left{k} l ANTI JOIN pick{k} p ON l.doc_id = p.doc_id
+        LEFT JOIN near{k} USING (topic, doc_id)
+    ),
+    left{k + 1} AS (SELECT *, round({1 - share} * similarity - {share} * worst, 9) AS value FROM seen{k})"""
+    picks = " UNION ALL ".join(f"SELECT topic, {k}::BIGINT AS rank, doc_id, {r6('similarity')} AS similarity FROM pick{k}" for k in range(1, n + 1))
+    return f"WITH {REPS}{steps} {picks}"
+
+
+@query("mmr_docs", mmr_sql(5, 0.1))
 def _(spark, d):
-    docs, counts = rg.documents(spark, d), cut_lineage(rg.class_counts(spark, d))
-    candidates = cut_lineage(rk.candidate_counts(docs, rg.tokens_of))
-    similarity = rk.doc_topic_cosine(candidates, counts, wt.ctfidf(counts))
-    return rp.mmr_docs(wt.ctfidf_of_documents(candidates, counts), similarity, 5, 0.1)
+    per_doc, counts = rg.counted(spark, d)
+    similarity = cut_lineage(rk.doc_topic_cosine(per_doc, counts, wt.ctfidf(counts)))
+    return rp.mmr_docs(wt.ctfidf_of_documents(per_doc, counts), similarity, 5, 0.1)
 
 
 # Scores of word lists --------------------------------------------------------------

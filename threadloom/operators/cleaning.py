@@ -87,44 +87,52 @@ def language_filter(df: DataFrame, language: str = "en", column: str = "document
     return detect_language(df, column).filter(F.col("language") == language)
 
 
-def _delete_keys(word: Column, depth: int) -> Column:
-    """The word and every string got by deleting up to ``depth`` characters."""
-
-    def drop_one(w: Column) -> Column:
-        places = F.when(F.char_length(w) > 0, F.sequence(F.lit(1), F.char_length(w))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(places, lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.char_length(w))))
-
-    keys = F.array(word)
-    layer = keys
-    for _ in range(depth):
-        layer = F.array_distinct(F.flatten(F.transform(layer, drop_one)))
-        keys = F.array_union(keys, layer)
-    return keys
+def _segments(words: DataFrame, depth: int, length: Column) -> DataFrame:
+    """Add ``_i, _start, _size`` of the ``depth + 1`` even segments of a word of ``length`` letters."""
+    start = F.floor(F.col("_i") * F.col("_len") / (depth + 1)).cast("int")
+    end = F.floor((F.col("_i") + 1) * F.col("_len") / (depth + 1)).cast("int")
+    parts = words.withColumn("_len", length).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    return parts.withColumn("_start", start).withColumn("_size", end - F.col("_start"))
 
 
 def spelling_table(vocabulary: DataFrame, dictionary: DataFrame, max_distance: int = 2) -> DataFrame:
     """Corrections ``(word, corrected, distance)`` for vocabulary words missing from the dictionary.
 
-    Two words within ``max_distance`` edits share a string got by at most that
-    many deletions on each side, so an equi-join on these strings finds every
-    candidate; the edit distance is then checked.  Smallest distance first,
-    then the most frequent dictionary word, then alphabetical.
+    A dictionary word is cut into ``max_distance + 1`` even segments.  So many
+    edits leave one of them whole, which then stands in the misspelt word at
+    most ``max_distance`` places off: an equi-join on (length, segment number,
+    segment) finds every candidate, with a number of keys per word that does
+    not depend on its length.  The edit distance is then checked.  Smallest
+    distance first, then the most frequent dictionary word, then alphabetical.
 
-    Only distinct words are joined.  Tables: vocabulary ``(word)``, dictionary
-    ``(word, n)``.
+    Only distinct words are joined, and none that is too long for all of the
+    dictionary.  Tables: vocabulary ``(word)``, dictionary ``(word, n)``.
     """
-    unknown = vocabulary.select("word").distinct().join(dictionary.select("word"), "word", "left_anti")
-    left = unknown.select("word", F.explode(_delete_keys(F.col("word"), max_distance)).alias("_key"))
-    right = dictionary.select(
-        F.col("word").alias("candidate"), "n", F.explode(_delete_keys(F.col("word"), max_distance)).alias("_key")
+    d = max_distance
+    longest = dictionary.agg((F.max(F.char_length("word")) + d).alias("_longest"))
+    size = F.char_length("word")
+    unknown = (
+        vocabulary.select("word")
+        .distinct()
+        .join(dictionary.select("word"), "word", "left_anti")
+        .filter((size > 0) & (size <= longest.scalar()))
+    )
+    near = unknown.withColumn("_other", F.explode(F.sequence(F.greatest(size - d, F.lit(1)), size + d)))
+    cut = _segments(near, d, F.col("_other"))
+    places = F.sequence(F.greatest(F.col("_start") - d, F.lit(0)), F.least(F.col("_start") + d, size - F.col("_size")))
+    left = (
+        cut.withColumn("_at", F.explode(places))
+        .select("word", "_len", "_i", F.substring("word", F.col("_at") + 1, F.col("_size")).alias("_part"))
+        .distinct()
+    )
+    right = _segments(dictionary.select(F.col("word").alias("candidate"), "n"), d, F.char_length("candidate")).select(
+        "candidate", "n", "_len", "_i", F.substring("candidate", F.col("_start") + 1, F.col("_size")).alias("_part")
     )
     distance = F.levenshtein(F.col("word"), F.col("candidate"))
     return (
-        left.join(right, "_key")
+        left.join(right, ["_len", "_i", "_part"])
         .withColumn("distance", distance)
-        .filter(F.col("distance") <= max_distance)
+        .filter(F.col("distance") <= d)
         .groupBy("word")
         .agg(F.min(F.struct("distance", (-F.col("n")).alias("rare"), "candidate")).alias("_best"))
         .select("word", F.col("_best.candidate").alias("corrected"), F.col("_best.distance").cast("bigint").alias("distance"))

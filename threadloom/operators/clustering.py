@@ -115,7 +115,7 @@ def level_grid(edges: DataFrame, levels: int, bins: int = 4_096) -> list[float]:
 def density_clusters(
     vectors: DataFrame,
     min_topic_size: int = 100,
-    min_samples: int | None = None,
+    min_samples: int = 15,
     levels: int = 24,
     allow_single: bool = False,
 ) -> DataFrame:
@@ -132,7 +132,9 @@ def density_clusters(
     """
     if min_topic_size < 2:
         raise ValueError("min_topic_size must be at least 2")
-    k = min_samples or max(2, min(min_topic_size, 15))
+    if min_samples < 1:
+        raise ValueError("min_samples must be at least 1")
+    k = min_samples
     rows = cut_lineage(vectors.select("doc_id", vx.as_doubles(F.col("embedding")).alias("v")))
     points = cut_lineage(rows.groupBy("v").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
     knn = cut_lineage(knn_join(points, k, "id", "v"))

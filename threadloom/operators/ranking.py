@@ -149,8 +149,8 @@ def representative_docs(
     """``(topic, rank, doc_id, similarity)``: documents closest to their topic.
 
     Cosine between the document's and the topic's c-TF-IDF vectors.
-    ``doc_counts`` is ``(topic, doc_id, word, n)`` of the candidates (see
-    ``sample_per_topic``); ``scores`` is the topics' c-TF-IDF.
+    ``doc_counts`` is ``(topic, doc_id, word, n)`` (see ``candidate_counts``);
+    ``scores`` is the topics' c-TF-IDF.
     """
     similarity = doc_topic_cosine(doc_counts, class_counts, scores, reduce_frequent_words)
     w = Window.partitionBy("topic").orderBy(F.desc("similarity"), "doc_id")
@@ -182,14 +182,16 @@ def doc_topic_cosine(
     )
 
 
-def candidate_counts(
-    docs: DataFrame, tokens_of: Callable[[DataFrame], DataFrame], samples: int = 500, seed: int = 42
-) -> DataFrame:
-    """``(topic, doc_id, word, n)`` of the sampled documents of each topic.
+def candidate_counts(docs: DataFrame, tokens_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(topic, doc_id, word, n)`` of all documents.
 
-    ``docs`` is ``(doc_id, topic, document)``; only the sampled texts reach
-    ``tokens_of``, which returns ``(doc_id, topic, word)``.
+    ``docs`` is ``(doc_id, topic, document)``; ``tokens_of`` returns
+    ``(doc_id, topic, word)``.  Every document can stand for its topic: ranking
+    them is a sum per document and a top-n list, both cut on the map side.
     """
-    chosen = sample_per_topic(docs.select("topic", "doc_id"), samples, seed)
-    sampled = docs.join(chosen.select("doc_id"), "doc_id")
-    return tokens_of(sampled).groupBy("topic", "doc_id", "word").agg(F.count("*").alias("n"))
+    return tokens_of(docs).groupBy("topic", "doc_id", "word").agg(F.count("*").alias("n"))
+
+
+def class_counts_of(doc_counts: DataFrame) -> DataFrame:
+    """``(topic, word, n)`` from the counts per document, without a second look at the texts."""
+    return doc_counts.groupBy("topic", "word").agg(F.sum("n").alias("n"))

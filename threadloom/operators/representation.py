@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import vectors as vx
 from threadloom.operators.ranking import word_lists
+from threadloom.session import cut_lineage
 
 #: A representation step turns a table ``(topic, rank, word, score)`` into another one.
 Step = Callable[[DataFrame], DataFrame]
@@ -125,36 +124,14 @@ def word_mean_vectors(candidates: DataFrame, tokens: DataFrame, embeddings: Data
     return mean_vectors(holders.join(embeddings.select("doc_id", "embedding"), "doc_id"), "word")
 
 
-def _mmr_order(
-    sim: np.ndarray, ids: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, diversity: float
-) -> list[int]:
-    """Positions chosen by maximal marginal relevance; ties go to the smaller id.
-
-    ``row``, ``term`` and ``weight`` are the non-zero cells of the candidates'
-    unit vectors; a pick costs one pass over them.
-    """
-    chosen: list[int] = []
-    worst = np.full(len(sim), -np.inf)
-    while len(chosen) < min(n, len(sim)):
-        value = sim.copy() if not chosen else (1 - diversity) * sim - diversity * worst
-        value = np.round(value, 9)
-        value[chosen] = -np.inf
-        best = np.flatnonzero(value == value.max())
-        pick = int(best[np.argmin(ids[best])])
-        chosen.append(pick)
-        dense = np.zeros(term.max(initial=-1) + 1)
-        dense[term[row == pick]] = weight[row == pick]
-        worst = np.maximum(worst, np.bincount(row, weight * dense[term], minlength=len(sim)))
-    return chosen
-
-
 def mmr_docs(weights: DataFrame, similarity: DataFrame, n: int = 10, diversity: float | None = 0.1) -> DataFrame:
     """``(topic, rank, doc_id, similarity)``: near to the topic, far from each other.
 
-    ``weights`` is ``(topic, doc_id, word, weight)`` of the candidates, at most
-    ``samples`` documents per topic (see ``candidate_counts``), so the group
-    that is handed to one task is bounded.  ``diversity`` is clipped to [0, 1];
-    0 or None gives the plain similarity order.
+    ``weights`` is ``(topic, doc_id, word, weight)`` of all documents.  Each of
+    the ``n`` rounds picks one document per topic and compares all others with
+    it: a join with the few words of the picks and a sum per document, so no
+    topic meets in one task.  Ties go to the smaller id.  ``diversity`` is
+    clipped to [0, 1]; 0 or None gives the plain similarity order.
     """
     w = Window.partitionBy("topic").orderBy(F.desc("similarity"), "doc_id")
     if not diversity or diversity <= 0:
@@ -164,30 +141,28 @@ def mmr_docs(weights: DataFrame, similarity: DataFrame, n: int = 10, diversity:
             .select("topic", "rank", "doc_id", "similarity")
         )
     share = min(float(diversity), 1.0)
-    bags = weights.groupBy("topic", "doc_id").agg(F.collect_list(F.struct("word", "weight")).alias("bag"))
-    rows = bags.join(similarity, ["topic", "doc_id"]).select(
-        "topic",
-        "doc_id",
-        "similarity",
-        F.transform("bag", lambda s: s["word"]).alias("words"),
-        F.transform("bag", lambda s: s["weight"]).alias("weights"),
-    )
-    topic_type = rows.schema["topic"].dataType.simpleString()
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id").reset_index(drop=True)
-        sizes = pdf["words"].str.len().to_numpy()
-        row = np.repeat(np.arange(len(pdf)), sizes)
-        term = pd.factorize(np.concatenate(pdf["words"].to_list()))[0]
-        weight = np.concatenate(pdf["weights"].to_list()).astype(float)
-        length = np.sqrt(np.bincount(row, weight * weight, minlength=len(pdf)))
-        weight = weight / np.where(length > 0, length, 1.0)[row]
-        ids = pdf["doc_id"].to_numpy()
-        order = _mmr_order(pdf["similarity"].to_numpy(dtype=float), ids, row, term, weight, n, share)
-        out = pdf.iloc[order][["topic", "doc_id", "similarity"]].copy()
-        out.insert(1, "rank", range(1, len(order) + 1))
-        return out
-
-    return rows.groupBy("topic").applyInPandas(
-        pick, f"topic {topic_type}, rank int, doc_id bigint, similarity double"
-    )
+    doc = ["topic", "doc_id"]
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(*doc)))
+    unit = F.when(length > 0, F.col("weight") / length).otherwise(F.lit(0.0))
+    units = cut_lineage(weights.select(*doc, "word", unit.alias("weight")))
+    rest = similarity.select(*doc, "similarity", F.lit(None).cast("double").alias("worst"))
+    chosen: DataFrame | None = None
+    for rank in range(1, n + 1):
+        value = F.when(F.col("worst").isNull(), F.col("similarity")).otherwise(
+            (1 - share) * F.col("similarity") - share * F.col("worst")
+        )
+        best = F.min(F.struct((-F.round(value, 9)).alias("v"), "doc_id", "similarity")).alias("_b")
+        pick = cut_lineage(
+            rest.groupBy("topic").agg(best).select("topic", F.lit(rank).alias("rank"), "_b.doc_id", "_b.similarity")
+        )
+        chosen = pick if chosen is None else chosen.unionByName(pick)
+        if rank == n:
+            break
+        bag = units.join(pick.select(*doc), doc).select("topic", "word", F.col("weight").alias("_w"))
+        near = units.join(bag, ["topic", "word"]).groupBy(*doc).agg(F.sum(F.col("weight") * F.col("_w")).alias("_near"))
+        rest = cut_lineage(
+            rest.join(pick.select(*doc), doc, "left_anti")
+            .join(near, doc, "left")
+            .select(*doc, "similarity", F.greatest("worst", F.coalesce("_near", F.lit(0.0))).alias("worst"))
+        )
+    return chosen

@@ -66,10 +66,10 @@ def chunk_words(
     df: DataFrame,
     column: str = "document",
     words: int = 512,
-    limit: int | None = 7,
+    limit: int | None = None,
     keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
-    """Cut each document into pieces of ``words`` words; ``limit`` keeps the first pieces (None keeps all)."""
+    """Cut each document into pieces of ``words`` words; ``limit`` keeps the first pieces, if given."""
     size = F.size("_words")
     pieces = F.ceil(size / F.lit(words)).cast("int")
     if limit is not None:
@@ -92,7 +92,7 @@ def corpus_chunks(
     block: Column,
     column: str = "document",
     words: int = 512,
-    limit: int | None = 7,
+    limit: int | None = None,
 ) -> DataFrame:
     """Cut the whole corpus, read as one text, into pieces ``(chunk, chunk_text)`` of ``words`` words.
 

@@ -39,6 +39,7 @@ class TopicTables:
     topic_info: DataFrame
     labels: DataFrame  # topic, label
     probabilities: DataFrame | None = None  # doc_id, topic, similarity: only on request
+    aspects: DataFrame | None = None  # aspect, topic, rank, word, score: the further parts of a representation
 
     def save(self, path: str) -> None:
         for f in fields(self):
@@ -62,8 +63,8 @@ def reduce_vectors(vectors: DataFrame, cfg: TopicJobConfig) -> DataFrame:
     if cfg.reduction is Reduction.none:
         return vectors
     if cfg.reduction is Reduction.umap:
-        return neighbor_embed(vectors, min(5, cfg.n_components), cfg.n_neighbors)
-    return pca(vectors, cfg.n_components)
+        return neighbor_embed(vectors, cfg.n_components or 5, cfg.n_neighbors)
+    return pca(vectors, cfg.n_components or 10)
 
 
 def cluster_vectors(vectors: DataFrame, cfg: TopicJobConfig) -> DataFrame:
@@ -131,7 +132,10 @@ def fit_topics(
         centres = cl.topic_centroids(clustered.join(vectors, "doc_id"))
         mapping = reduce_topics(centres, cfg.nr_topics)
         clustered = clustered.join(mapping, "topic").select("doc_id", F.col("merged").alias("topic"))
-        label_names = None
+        if label_names is not None:
+            # a topic made of several known ones has all their names
+            names = F.array_join(F.array_sort(F.collect_set("label")), " / ").alias("label")
+            label_names = label_names.join(mapping, "topic").groupBy(F.col("merged").alias("topic")).agg(names)
     numbered, renamed = rk.relabel_topics(clustered)
     numbered = cut_lineage(numbered.select("doc_id", "topic"))
     if label_names is not None:
@@ -141,14 +145,12 @@ def fit_topics(
 
     topical = docs.join(numbered, "doc_id")
     centres = cut_lineage(cl.topic_centroids(numbered.join(vectors, "doc_id")))
-    tokens = topic_tokens(topical, cfg)
-    class_counts = cut_lineage(ct.class_term_counts(tokens))
+    # the texts are split once; the words of a topic are summed from those of its documents
+    doc_counts = cut_lineage(rk.candidate_counts(topical, lambda some: topic_tokens(some, cfg)))
+    class_counts = cut_lineage(rk.class_counts_of(doc_counts))
     scores = cut_lineage(wt.ctfidf(class_counts, cfg.reduce_frequent_words))
     base = cut_lineage(rk.base_words(scores, cfg.top_n_words))
 
-    doc_counts = cut_lineage(
-        rk.candidate_counts(topical, lambda some: topic_tokens(some, cfg), cfg.samples_per_topic, cfg.seed)
-    )
     similarity = cut_lineage(rk.doc_topic_cosine(doc_counts, class_counts, scores, cfg.reduce_frequent_words))
 
     def with_text(picked: DataFrame) -> DataFrame:
@@ -176,9 +178,8 @@ def fit_topics(
             )
     elif label_names is not None:
         labels = label_names
-    words = cut_lineage(
-        rp.representation_chain(base, steps, cfg.top_n_words).filter("aspect = 'Main'").drop("aspect")
-    )
+    described = cut_lineage(rp.representation_chain(base, steps, cfg.top_n_words))
+    words = described.filter("aspect = 'Main'").drop("aspect")
 
     near = cl.topic_probability(vectors.join(numbered.select("doc_id"), "doc_id"), centres.filter("topic >= 0"))
     if strength is not None and zeroshot is None:
@@ -201,6 +202,7 @@ def fit_topics(
         topic_info=cut_lineage(info),
         labels=labels,
         probabilities=full,
+        aspects=described.filter("aspect != 'Main'"),
     )
 
 
