@@ -24,6 +24,8 @@ MISS = 20.7
 SLACK = 0.3
 #: Documents on each side of a block of exact comparisons.
 BLOCK_DOCS = 128
+#: Parts into which the members of a hot list are dealt where they are joined with a row of their list.
+PARTS = 32
 
 MIX, FINISH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -158,6 +160,17 @@ def list_pairs(lists: DataFrame) -> DataFrame:
     return ordered(lists.join(mates, "value").filter((F.col("id") < F.col("id2")) & close_sizes()))
 
 
+def with_list_row(lists: DataFrame, once: DataFrame) -> DataFrame:
+    """Members of hot lists with the columns of ``once``, which has one row a list.
+
+    That row is copied ``PARTS`` times and each member meets one of the
+    copies, so no task takes a whole list.
+    """
+    copies = once.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = lists.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+    return dealt.join(copies, ["value", "part"]).drop("part")
+
+
 def star_pairs(lists: DataFrame) -> DataFrame:
     """Every member of a list with one other.
 
@@ -167,7 +180,7 @@ def star_pairs(lists: DataFrame) -> DataFrame:
     draw = F.xxhash64(F.col("id"), F.pmod(F.col("value"), F.lit(4)))
     centre = lists.groupBy("value").agg(F.min(F.struct(draw.alias("draw"), "id", "n")).alias("c"))
     centre = centre.select("value", F.col("c.id").alias("id2"), F.col("c.n").alias("n2"))
-    return ordered(lists.join(centre, "value").filter((F.col("id") != F.col("id2")) & close_sizes()))
+    return ordered(with_list_row(lists, centre).filter((F.col("id") != F.col("id2")) & close_sizes()))
 
 
 def block_links(left: pa.Table) -> pa.Table:
@@ -214,7 +227,7 @@ def stray_links(lists: DataFrame, full: DataFrame) -> DataFrame:
     """
     parts = lists.groupBy("value", "label").agg(F.count("*").alias("m"))
     most = parts.groupBy("value").agg(F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    met = lists.join(most.select("value", F.col("most.label").alias("main")), "value").select("main", "id", "label").distinct()
+    met = with_list_row(lists, most.select("value", F.col("most.label").alias("main"))).select("main", "id", "label").distinct()
     met = cut_lineage(met.withColumn("stray", F.col("label") != F.col("main")))
     sides = met.groupBy("main").agg(F.count("*").alias("n"), F.sum(F.col("stray").cast("int")).alias("s"))
     sides = sides.select("main", F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("n"), F.ceil(F.col("s") / BLOCK_DOCS).cast("int").alias("s"))
