@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from threadloom.catalog import registry as rg
@@ -12,7 +14,7 @@ from threadloom.operators import embedding as em
 from threadloom.operators import joins as jn
 from threadloom.operators import neighbors as nb
 from threadloom.operators import weighting as wt
-from threadloom.session import cut_lineage
+from threadloom.session import cut_lineage, ensure_checkpoint_dir
 
 SIMS = f"""{VECTORS}, sims AS (
         SELECT d.doc_id, c.topic, {cosine_sql('v', 'c')} AS s FROM vecs d CROSS JOIN centres c
@@ -160,12 +162,17 @@ def _(spark, d):
     return made.select("doc_id", F.posexplode("embedding").alias("pos", "value")).filter("abs(value) > 1e-9")
 
 
-@query("load_or_embed")
+@query(
+    "load_or_embed",
+    """SELECT d.doc_id, coalesce(len(e.embedding), 64)::BIGINT AS dims, e.vec_id IS NOT NULL AS stored
+    FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
+)
 def _(spark, d):
-    # half of the work is stored already: documents that have a vector keep it, all others are embedded
+    # a part of the work is stored already: documents that have a vector keep it, all others are embedded
     docs = rg.documents(spark, d).select("doc_id", "document")
-    stored = rg.vectors(spark, d).select("doc_id", "embedding")
-    made = em.hash_embedder(64, rg.STOP)(docs.join(stored.select("doc_id"), "doc_id", "left_anti"))
-    known = stored.join(docs.select("doc_id"), "doc_id", "left_semi")
-    both = known.unionByName(made)
-    return both.select("doc_id", F.size("embedding").alias("dims"))
+    path = f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    em.save_embeddings(rg.vectors(spark, d), path)
+    both = em.load_or_embed(docs, path, em.hash_embedder(64, rg.STOP))
+    saved = rg.vectors(spark, d).select("doc_id", F.col("embedding").cast("array<float>").alias("_saved"))
+    own = F.coalesce(F.col("embedding") == F.col("_saved"), F.lit(False))
+    return both.join(saved, "doc_id", "left").select("doc_id", F.size("embedding").alias("dims"), own.alias("stored"))

@@ -97,9 +97,11 @@ def build_dictionary(tokens: DataFrame) -> DataFrame:
 
 def matrix_shape(counts: DataFrame) -> DataFrame:
     """Documents, vocabulary size and stored cells of a document-term matrix."""
-    return counts.agg(
-        F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("word").alias("n_words"), F.count("*").alias("n_cells")
-    )
+    # several distinct counts in one aggregate would copy every cell for each of them
+    docs = counts.select("doc_id").distinct().agg(F.count("doc_id"))
+    words = counts.select("word").distinct().agg(F.count("word"))
+    cells = counts.agg(F.count("*").alias("n_cells"))
+    return cells.select(docs.scalar().alias("n_docs"), words.scalar().alias("n_words"), "n_cells")
 
 
 def mean_vectors(vectors: DataFrame, key: str = "topic", column: str = "embedding", name: str = "vector") -> DataFrame:

@@ -93,7 +93,7 @@ def vector_similarity(
 
     ``mode="best"`` adds the key and similarity of the nearest target (ties: the
     smaller key), one row per document.  ``mode="all"`` gives one row per pair,
-    which is what a full probability matrix is.
+    which is what a full probability matrix is, without the document's vector.
 
     The target matrix goes to the tasks while it is within ``MATRIX_LIMIT``;
     beyond that it is taken in slices of that size, and the best of the slices
@@ -110,10 +110,12 @@ def vector_similarity(
 def _matrix_similarity(docs, found, key_type, doc_column, key, mode, min_similarity) -> DataFrame:
     keys, matrix = found
     if not keys:
-        return docs.withColumn(key, F.lit(None).cast(key_type)).withColumn("similarity", F.lit(None).cast("double"))
+        none = docs if mode == "best" else docs.drop(doc_column).limit(0)
+        return none.withColumn(key, F.lit(None).cast(key_type)).withColumn("similarity", F.lit(None).cast("double"))
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     unit = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-    names = list(docs.columns)
+    # a pair doesn't carry the vector of its document
+    names = [c for c in docs.columns if mode == "best" or c != doc_column]
     kind = key_type.simpleString()
 
     def score(batches):
@@ -133,11 +135,11 @@ def _matrix_similarity(docs, found, key_type, doc_column, key, mode, min_similar
             if min_similarity is not None:
                 hit = flat >= min_similarity
                 rows, cols, flat = rows[hit], cols[hit], flat[hit]
-            out = pdf.iloc[rows].reset_index(drop=True)
+            out = pdf[names].iloc[rows].reset_index(drop=True)
             yield out.assign(**{key: [keys[i] for i in cols], "similarity": flat})
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{key}` {kind}", "similarity double"])
-    out = docs.select(*names).mapInPandas(score, schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields] + [f"`{key}` {kind}", "similarity double"])
+    out = docs.mapInPandas(score, schema)
     if mode == "best" and min_similarity is not None:
         out = out.filter(F.col("similarity") >= min_similarity)
     return out
