@@ -115,6 +115,34 @@ def test_redaction_replaces_every_span(odd):
     assert "Zx9$kQ" not in next(r.text for r in rows if r.doc_id == 13)
 
 
+def test_values_in_context_are_read_whole(spark):
+    long = "Zx9$kQ!7vRt2Lm"
+    cases = [  # text, value of the guess span, text without secrets
+        (f'dbPassword = "{long}" x', long, 'dbPassword = "*" x'),
+        (f"userToken: {long}, x", long, "userToken: *, x"),
+        (f"clientSecret={long}", long, "clientSecret=*"),
+        (f"MY_PASS={long} x", long, "MY_PASS=* x"),
+        ("dbPassword=abcdefgh$Rest!of#it x", "abcdefgh$Rest!of#it", "db* x"),
+        ("password=password$monkey1 x", None, "* x"),  # cheap, but the base match takes the rest along
+        ('passphrase: "correct horse battery staple" x', "correct horse battery staple", 'passphrase: "*" x'),
+        ("secret='pässwort über alles' x", "pässwort über alles", "secret='*' x"),
+        ("pwd=Zx9ü$kQ!7vö x", "Zx9ü$kQ!7vö", "pwd=* x"),
+        ('token: "Zx9 \\" kQ!7v" x', 'Zx9 \\" kQ!7v', 'token: "*" x'),
+        ('apiKey = "Zx9 kQ!7v\nRt2Lm" x', "Zx9 kQ!7v\nRt2Lm", 'apiKey = "*" x'),
+        (f"password: token: {long} x", long, "password: token: * x"),
+        ("compass: north-by-northwest x", None, "compass: north-by-northwest x"),
+        ('password="" token="" x', None, 'password="" token="" x'),
+        ('pwd: "no end 12\n\nnext text" x', None, 'pwd: "no end 12\n\nnext text" x'),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r for r in secret_scan.scan_secrets(docs).collect()}
+    clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs, mark="*").collect()}
+    for i, (text, value, redacted) in enumerate(cases):
+        guesses = [s.split(":") for s in found[i].spans.split(",") if s.startswith("guess")]
+        assert [text[int(a) : int(b)] for _, a, b in guesses] == ([value] if value else []), text
+        assert found[i].n_guess == len(guesses) and clean[i] == redacted, text
+
+
 def test_base_rules_equal_brute_force(spark, docs, odd):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").filter("quality = 1 AND toxic = 0")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

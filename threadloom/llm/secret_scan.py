@@ -19,8 +19,32 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "guess")
 
-#: Names that mark a value as a credential, beside those of the base pattern.
-CONTEXT = r"""(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api_?key|access_?key|private_?key|credentials?|auth)["']?[\x20\t]*(?::=|[:=])[\x20\t]*["']?([!-~]+)"""
+#: Names that mark a value as a credential: those of the base pattern and others, also as the end of a longer
+#: name (dbPassword, user_token).  English words that end in "pass" are no names.
+NAMES = (
+    r"(?:password|passwd|passphrase|passcode|pwd|secret|token|api_?key|access_?key|private_?key|credentials?|auth"
+    r"|(?<!com)(?<!by)(?<!tres)(?<!sur)(?<!over)(?<!under)pass)"
+)
+GAP = r"\n(?![\x20\t\r]*\n)"
+#: What a value in quotes is, by group; the first that fits counts.  It ends at its closing quote, in any characters;
+#: one quote that is not closed before an empty line is no quote.
+QUOTED = (
+    r'"""(.+?)"""',
+    r"'''(.+?)'''",
+    r'""([^"\s,;:)\]}>][^"]*+)""',
+    rf'"((?:[^"\\\n]|\\.|""(?=\w)|{GAP})*+)"',
+    rf"'((?:[^'\\\n]|\\.|''(?=\w)|(?<=[a-z])'(?=(?:s|t|re|ve|ll|d|m)\b)|{GAP})*+)'",
+    rf"`((?:[^`\n]|{GAP})*+)`",
+    rf"“((?:[^“”\n]|{GAP})*+)”",
+    rf"„((?:[^„“”\n]|{GAP})*+)[“”]",
+    rf"‘((?:[^‘’\n]|{GAP})*+)’",
+    rf"«((?:[^«»\n]|{GAP})*+)»",
+)
+#: A value without quotes ends at white space.
+BARE = r"""["'`“„‘«]?([^\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+)"""
+CONTEXT = rf"""{NAMES}["']?[\x20\t]*(?::=|=>|={{1,3}}|:)[\x20\t]*(?:(?:[bfru@$]{{1,2}}(?=["']))?(?:{"|".join(QUOTED)})|{BARE})"""
+#: Signs behind a value without quotes that do not belong to it.
+AFTER = "\"'`,;.)]}>”’»"
 
 # Common parts of passwords, most frequent first.
 WORDS = (
@@ -98,33 +122,55 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
+def value_of(m: re.Match) -> tuple[int, int]:
+    """Start and end of the value that a match of ``CONTEXT`` found."""
+    start, end = m.span(m.lastindex)
+    if m.lastindex == m.re.groups:
+        end = start + len(m[m.lastindex].rstrip(AFTER))
+    return start, end
+
+
 class Scanner:
     def __init__(self, least_bits: float) -> None:
         self.least_bits = least_bits
         self.assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
-        self.context = re.compile(CONTEXT, re.IGNORECASE | re.ASCII)
+        self.context = re.compile(CONTEXT, re.IGNORECASE | re.ASCII | re.DOTALL)
         self.access = re.compile(ACCESS)
         self.hex = re.compile(HEX[:-1] + "{%d,}" % LEAST["hex"])  # a whole run or nothing, as the base pattern has it
 
+    def values(self, text: str) -> Iterator[tuple[int, int]]:
+        """``(start, end)`` of the values in credential context that cost enough guesses.
+
+        A cheap value is searched in turn: it may be the name of the next one.
+        """
+        at = 0
+        while m := self.context.search(text, at):
+            start, end = value_of(m)
+            enough = start < end and guess_bits(text[start:end]) >= self.least_bits
+            if enough:
+                yield start, end
+            at = m.end() if enough else max(start, at + 1)
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """``(kind, start, end)`` in the order of start, then of ``KINDS``."""
         found: list[tuple[str, int, int]] = []
         if "=" in text or ":" in text:
             found += [("assign", m.start(), m.end()) for m in self.assign.finditer(text) if len(m[2]) >= LEAST["assign"]]
-            for m in self.context.finditer(text):
-                value = m[1].rstrip("\"'`,;.)]}>")
-                if value and guess_bits(value) >= self.least_bits:
-                    found.append(("guess", m.start(1), m.start(1) + len(value)))
+            found += [("guess", *v) for v in self.values(text)]
         if "AKIA" in text:
             found += [("access", m.start(), m.end()) for m in self.access.finditer(text) if m.end() - m.start() >= LEAST["access"]]
         found += [("hex", m.start(), m.end()) for m in self.hex.finditer(text)]
         return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
     def redacted(self, text: str, mark: str) -> str:
-        """``text`` with its secrets replaced; overlapping spans count as one."""
+        """``text`` with its secrets replaced; overlapping spans count as one.
+
+        The base pattern may end inside a value; the rest goes with it, whatever its guesses cost.
+        """
         spans = self.spans(text)
         if not spans:
             return text
+        spans = [(kind, a, max(b, value_of(self.context.match(text, a))[1]) if kind == "assign" else b) for kind, a, b in spans]
         out, at = [], 0
         start, end = spans[0][1:]
         for _, a, b in [*spans[1:], ("", len(text) + 1, 0)]:
@@ -144,9 +190,10 @@ def scan_secrets(docs: DataFrame, least_bits: float = 36.0, text: str = "text",
     """``(key, n_assign, n_access, n_hex, n_guess, base_sha256, spans)`` of every row.
 
     The base patterns give spans of kind assign, access and hex (of the whole
-    match, in code points, end exclusive).  A value in credential context
-    whose guesses cost ``least_bits`` or more is a span of kind guess, which
-    overlaps a base span or stands alone.  Null counts as an empty text: no
+    match, in code points, end exclusive).  A value in credential context, in
+    quotes up to the closing quote and else up to white space, whose guesses
+    cost ``least_bits`` or more is a span of kind guess, which overlaps a base
+    span or stands alone.  Null counts as an empty text: no
     spans, and the digest of an empty string.  A null key stays null, repeated
     rows are scanned each, other columns are not returned.
     """
@@ -169,6 +216,7 @@ def scan_secrets(docs: DataFrame, least_bits: float = 36.0, text: str = "text",
 def redact_secrets(docs: DataFrame, least_bits: float = 36.0, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
     """The same rows and columns; every span that ``scan_secrets`` finds in ``text`` is replaced by ``mark``.
 
+    A base match is replaced with the whole value it begins.
     ``n_chars``, where there is such a column, becomes the new length.  Null
     stays null.
     """
