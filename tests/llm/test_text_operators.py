@@ -230,6 +230,30 @@ def test_licenses_are_found_where_they_stand(spark, odd):
     assert licenses.scan_licenses(empty(odd)).count() == 0
 
 
+def test_published_notices_and_whole_texts_are_found(spark):
+    free = "This {0} is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {1}General Public License as published by\n# the Free Software Foundation, either version {2} of the License, or\n# (at your option) any later version."
+    cases = [
+        (free.format("program", "", 3), {"GPL-3.0"}),
+        (free.format("file", "", 2), {"GPL-2.0"}),  # other first words
+        ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", {"GPL-3.0"}),
+        (free.format("program", "Affero ", 3), {"AGPL-3.0"}),
+        (free.format("library", "Lesser ", 2.1), {"LGPL-2.1"}),
+        (free.format("program", "Lesser ", 3), {"LGPL-3.0"}),
+        ("it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", {"GPL-2.0"}),
+        ("it under the terms of the GNU General Public License as published by the Free Software Foundation.", set()),
+        ('Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0', {"Apache-2.0"}),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
+        ("https://creativecommons.org/licenses/by-nc-sa/4.0/", {"CC-BY-NC-SA-4.0"}),
+        ("// SPDX-License-Identifier: GPL-2.0-only", {"GPL-2.0"}),
+        ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.", {"ISC"}),
+    ]
+    cases += [(text, {name} | ({"BSD"} if name.startswith("BSD") else set())) for name, text in licenses.TEXTS]
+    filler = " ".join(f"filler{i}" for i in range(300))
+    docs = spark.createDataFrame([(i, f"{filler} {t} {filler}") for i, (t, _) in enumerate(cases)], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in licenses.scan_licenses(docs).collect()}
+    assert [(t[:60], got[i]) for i, (t, _) in enumerate(cases)] == [(t[:60], names) for t, names in cases]
+
+
 def test_license_query_equals_exact_containment(spark):
     index = licenses.Index(licenses.TEMPLATES)
     got = {r.doc_id: r.licenses for r in queries.op3_licenses(spark, "/root/testdata/sf0.01").collect()}
