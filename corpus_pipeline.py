@@ -24,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8): the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, Jaccard 0.8): the one with the smallest id, null last."""
     return drop_near_duplicates(docs)
 
 

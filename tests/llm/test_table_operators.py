@@ -85,6 +85,20 @@ def test_rows_that_share_a_key_are_one_document(spark):
     assert got == {(5, 3), (3, 3), (9, 3), (7, 7)}
 
 
+def test_one_row_of_each_component_stays_whatever_its_key(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    near = d.replace("d29", "other")
+    rows = [(5, a), (5, b), (3, a), (9, b), (7, c), (7, c), (7, "another text of its own"), (None, c), (None, d), (None, d), (None, near), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = near_dups.drop_near_duplicates(df)
+    assert kept.schema == df.schema
+    got = sorted(map(tuple, kept.collect()), key=repr)
+    last = [r for r in got if r[1] in (d, near)]
+    assert len(last) == 1 and last[0][0] is None  # which of the keyless copies is open
+    want = [(3, a), (5, b), (7, c), (7, "another text of its own"), (None, ""), (None, None)]
+    assert sorted([r for r in got if r not in last], key=repr) == sorted(want, key=repr)
+
+
 # Mixing ---------------------------------------------------------------------
 
 

@@ -24,6 +24,8 @@ MISS = 20.7
 SLACK = 0.3
 #: Documents on each side of a block of exact comparisons.
 BLOCK_DOCS = 128
+#: Column of the ids that rows have while they are compared.
+ROW = "_near_row"
 #: Parts into which the members of a hot list are dealt where they are joined with a row of their list.
 PARTS = 32
 
@@ -300,6 +302,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, text: str = "text", key: str
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    gone = near_duplicates(docs, size, text, key).filter(~F.col("kept")).select(key)
-    return docs.join(gone, key, "left_anti")
+    """One row of each component of near copies, with all its columns: the row with the smallest key.
+
+    Rows are compared, not keys: each has its own id, so rows without a key
+    or with a key that others have are searched and dropped like all.  Of
+    rows with the same key the first counts, and null is the largest key.
+    Wordless texts are linked with nothing and stay.
+    """
+    # the ids hold for all later readers because they are written down
+    rows = cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    found = cut_lineage(near_duplicates(rows, size, text, ROW).select(ROW, "component_id", "kept"))
+    shared = found.filter(~F.col("kept")).select("component_id").distinct()
+    members = found.join(shared, "component_id").join(rows.select(ROW, F.col(key).alias("_key")), ROW)
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", ROW)).alias("best"))
+    gone = found.join(shared, "component_id").select(ROW).join(best.select(F.col(f"best.{ROW}").alias(ROW)), ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").drop(ROW)
