@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BENCH_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -103,3 +106,33 @@ def odd_docs(spark):
     schema = "doc_id bigint, text string, n_words string, kept string, label bigint, _text string, value double, source string, lang string, n_chars bigint"
     rows = [(i, t, "clash", None, 7, "clash", 1.0, None if i in (1, 4) else f"s{(i or 0) % 3}", "en", len(t) if t is not None else None) for i, t in ODD]
     return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def runs(items: list, least: int) -> list[tuple[int, int, int]]:
+    """``(start, length, period)`` of all runs, by comparing the items with themselves at every distance."""
+    ids = {x: k for k, x in enumerate(dict.fromkeys(items))}
+    s = np.array([ids[x] for x in items], np.int64)
+    found: dict[tuple[int, int], int] = {}
+    for q in range(1, len(s) // 2 + 1):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], s[:-q] == s[q:], [0]]).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            # a stretch with period q whose smallest period is less has been found with that one
+            if b - a + q >= max(least, 2 * q) and not any((a, b + q) == span and q % p == 0 for span, p in found.items()):
+                found[a, b + q] = q
+    return sorted((a, b - a, q) for (a, b), q in found.items())
+
+
+def op12(doc_id: int | None, text: str) -> tuple:
+    words = WORDS.findall(text)
+    n, h = len(words), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 == 0 and n:
+        a = h // 10 % n
+        p = 1 + (n - a) // (3 + h // 10 % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    all_runs = runs(words, 12)
+    gone = {i for s, length, q in all_runs for i in range(s + q, s + length)}
+    start, length, period = min(all_runs, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+    lines = "".join(f"{s},{length},{q}\n" for s, length, q in all_runs)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    exponent = None if start is None else 1000 * length // period
+    return len(all_runs), start, length, period, exponent, *(hashlib.sha256(x.encode()).hexdigest() for x in (lines, kept))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, licenses, mixing, near_dups, ngram_ratio, revisits, secret_scan, token_counts, url_filter, weak_quality
+from threadloom.llm import decontaminate, licenses, mixing, near_dups, ngram_ratio, periodic_runs, revisits, secret_scan, token_counts, url_filter, weak_quality
 from threadloom.llm.common import table
 
 # The rules of the URL query.
@@ -161,11 +161,40 @@ def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"), size=4)
 
 
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; one text in ten goes on with a stretch of its own words, repeated to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.floor(F.col("_h") / 10), F.size("_words")
+    some = docs.select("doc_id", "text", h.alias("_h"), F.when(h % 10 == 0, words).alias("_words"))
+    some = some.withColumn("_a", (g % F.greatest(n, F.lit(1))).cast("int"))
+    some = some.withColumn("_p", (1 + F.floor((n - F.col("_a")) / (3 + g % 8))).cast("int"))
+    times = F.ceil((n - F.col("_a")) / F.col("_p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), times))
+    rebuilt = F.array_join(F.slice(F.concat(F.slice("_words", F.lit(1), F.col("_a")), tail), F.lit(1), n), " ")
+    return some.select("doc_id", F.when(n > 0, rebuilt).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeated_tails(table(spark, folder, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    ended = F.transform(lines, lambda line: F.concat(line, F.lit("\n")))
+    found = found.withColumn("best", best)
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", "n_words", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(ended, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_revisits, op3_licenses, op4_secrets, op5_weak_quality,
         op6_ngram_ratio, op7_decontamination, op8_url_filter, op9_mixing, op10_near_dups,
+        op12_periodic_runs,
     )
 }
 SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op8_url_filter": OP8_SQL}
