@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -136,3 +137,35 @@ def op12(doc_id: int | None, text: str) -> tuple:
     kept = " ".join(w for i, w in enumerate(words) if i not in gone)
     exponent = None if start is None else 1000 * length // period
     return len(all_runs), start, length, period, exponent, *(hashlib.sha256(x.encode()).hexdigest() for x in (lines, kept))
+
+
+def trie(rows: list[tuple], rebuilt: bool) -> set[tuple]:
+    """The nodes of ``(conv_id, turn, role, text)`` rows, by a dictionary of all prefixes."""
+    convs: dict[int, list] = {}
+    order = lambda r: (r[0], r[1] is not None, r[1] or 0, turn_digest(r[2] or "", r[3] or ""))
+    for c, _, role, text in sorted((r for r in rows if r[0] is not None), key=order):
+        convs.setdefault(c, []).append((role or "", text or ""))
+    paths = {}
+    for c, turns in convs.items():
+        h = zlib.crc32(str(c).encode()) % 4 if rebuilt else 0
+        paths[c] = tuple([*convs.get(c - int(math.fmod(c, 20)), [])[:h], *turns[h:]])
+    members: dict[tuple, list[int]] = {}
+    for c, path in paths.items():
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, own in members.items():
+        words = len(WORDS.findall(p[-1][1])) if p else 0
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += children[p] == 0
+            saved[p[:d]] += (len(own) - 1) * words
+    return {
+        (min(own), len(p), min(members[p[:-1]]) if p else None, len(own), children[p], leaves[p], saved[p],
+         hashlib.sha256(",".join(str(c) for c in sorted(own) if paths[c] == p).encode()).hexdigest())
+        for p, own in members.items()
+    }
+
+
+def turn_digest(role: str, text: str) -> str:
+    return hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()

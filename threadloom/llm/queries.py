@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, licenses, mixing, near_dups, ngram_ratio, periodic_runs, revisits, secret_scan, token_counts, url_filter, weak_quality
+from threadloom.llm import decontaminate, licenses, mixing, near_dups, ngram_ratio, periodic_runs, prefix_trie, revisits, secret_scan, token_counts, url_filter, weak_quality
 from threadloom.llm.common import table
 
 # The rules of the URL query.
@@ -161,6 +161,12 @@ def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, folder, "documents"), size=4)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefix_trie.numbered_turns(table(spark, folder, "conversations"))
+    conv = F.col("conv_id")
+    return prefix_trie.trie_nodes(*prefix_trie.share_openings(turns, F.crc32(conv.cast("string")) % 4, conv - conv % 20))
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)``; one text in ten goes on with a stretch of its own words, repeated to its end."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -194,7 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_token_counts, op2_revisits, op3_licenses, op4_secrets, op5_weak_quality,
         op6_ngram_ratio, op7_decontamination, op8_url_filter, op9_mixing, op10_near_dups,
-        op12_periodic_runs,
+        op11_prefix_trie, op12_periodic_runs,
     )
 }
 SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op8_url_filter": OP8_SQL}
