@@ -167,6 +167,46 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.trie_nodes(*prefix_trie.share_openings(turns, F.crc32(conv.cast("string")) % 4, conv - conv % 20))
 
 
+def _crc_steps(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+OP11_SQL = f"""
+    WITH ordered AS (
+        SELECT conv_id AS c, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said,
+            len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), convs AS (
+        SELECT c, n, c - c % 20 AS base, xor(list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+            lambda a, b: xor(a >> 8, {[_crc_steps(b) for b in range(256)]}[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+        FROM (SELECT c, count(*) AS n FROM ordered GROUP BY c)
+    ), rebuilt AS (
+        SELECT v.c, o.pos AS i, said, words FROM convs v JOIN ordered o ON o.c = v.base AND o.pos < v.h
+        UNION ALL
+        SELECT v.c, o.pos - v.h + least(v.h, coalesce(b.n, 0)), said, words
+        FROM convs v JOIN ordered o ON o.c = v.c AND o.pos >= v.h LEFT JOIN convs b ON b.c = v.base
+    ), paths AS (
+        SELECT c, coalesce(list(sha256(said) ORDER BY i) FILTER (i IS NOT NULL), []) AS path, list(words ORDER BY i) AS words
+        FROM convs LEFT JOIN rebuilt USING (c) GROUP BY c
+    ), nodes AS (
+        SELECT path[1:d] AS p, d, min(c) AS conv_id, count(*) AS n, coalesce(any_value(words[d]), 0) AS w,
+            sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(path) = d), '')) AS ends
+        FROM paths, unnest(range(len(path) + 1)) r(d) GROUP BY ALL
+    ), counted AS (
+        SELECT nodes.*, (SELECT count(*) FROM nodes k WHERE k.d = nodes.d + 1 AND k.p[1:nodes.d] = nodes.p) AS children FROM nodes
+    ), below AS (
+        SELECT p[1:k] AS p, count(*) FILTER (children = 0) AS leaves, sum((n - 1) * w)::BIGINT AS saved
+        FROM counted, unnest(range(d + 1)) r(k) GROUP BY ALL
+    )
+    SELECT nodes.conv_id, nodes.d AS depth, up.conv_id AS parent_conv_id, nodes.n AS n_convs, nodes.children AS n_children,
+        leaves AS n_leaves, saved AS saved_tokens, nodes.ends AS ends_sha256
+    FROM counted nodes JOIN below USING (p) LEFT JOIN nodes up ON nodes.d > 0 AND up.p = nodes.p[1:nodes.d - 1]"""
+
+
 def repeated_tails(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)``; one text in ten goes on with a stretch of its own words, repeated to its end."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -203,4 +243,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_prefix_trie, op12_periodic_runs,
     )
 }
-SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op8_url_filter": OP8_SQL}
+SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op8_url_filter": OP8_SQL, "op11_prefix_trie": OP11_SQL}
