@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -169,3 +170,21 @@ def trie(rows: list[tuple], rebuilt: bool) -> set[tuple]:
 
 def turn_digest(role: str, text: str) -> str:
     return hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).hexdigest()
+
+
+def repeats(texts: list[bytes], width: int) -> list[tuple[list[tuple[int, int]], bytes]]:
+    """Spans of bytes inside windows that start in two places, and the other bytes."""
+    times = Counter(t[i : i + width] for t in texts for i in range(len(t) - width + 1))
+    out = []
+    for t in texts:
+        gone = [False] * len(t)
+        for i in range(len(t) - width + 1):
+            if times[t[i : i + width]] > 1:
+                gone[i : i + width] = [True] * width
+        spans, i = [], 0
+        for value, run in itertools.groupby(gone):
+            n = len(list(run))
+            spans += [(i, n)] * value
+            i += n
+        out.append((spans, bytes(b for b, g in zip(t, gone, strict=True) if not g)))
+    return out

@@ -1,11 +1,12 @@
 """Repeats inside and across texts: runs, repeated windows."""
 
+import hashlib
 import random
 
 import brute
 import pytest
 
-from threadloom.llm import periodic_runs, queries
+from threadloom.llm import periodic_runs, queries, repeated_windows
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -70,3 +71,54 @@ def test_periodic_runs_of_odd_rows(spark, odd, tmp_path):
     assert periodic_runs.periodic_runs(odd.filter("1 = 0")).count() == 0
     twice = periodic_runs.periodic_runs(odd.union(odd)).collect()
     assert sorted(repr(r) for r in twice) == sorted(repr(r) for r in periodic_runs.periodic_runs(odd).collect() * 2)
+
+
+# Repeated windows ------------------------------------------------------------
+
+
+def check_spans(df, width, crowd):
+    docs = df.select("doc_id", "text").collect()
+    raw = [(r.text or "").encode() for r in docs]
+    want = [(r.doc_id, len(t), spans, hashlib.sha256(kept).hexdigest()) for r, t, (spans, kept) in zip(docs, raw, brute.repeats(raw, width), strict=True)]
+    got = [(r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], r.kept_sha256) for r in repeated_windows.repeated_windows(df, width, crowd=crowd).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    return want
+
+
+@pytest.mark.parametrize(("width", "crowd"), [(7, 4096), (20, 1), (33, 4)])
+def test_repeated_windows_of_small_alphabets(spark, width, crowd):
+    """Edited copies, shared passages, constant and periodic texts; with and without marks that are too many to gather."""
+    draw = random.Random(width)
+    text = lambda n, letters: "".join(draw.choices("abcdefgh é"[:letters], k=n))
+    passage, base = text(60, 9), text(300, 9)
+    rows = ["z" * 200, "z" * 50, "xy" * 90, "", None, text(width, 9), passage, passage, text(400, 1)]
+    rows += [text(draw.randrange(30), 9) + passage + text(draw.randrange(30), 9) for _ in range(25)]
+    for _ in range(25):
+        copy = list(base)
+        for _ in range(draw.randrange(5)):
+            copy[draw.randrange(len(copy))] = "#"
+        rows.append("".join(copy))
+    rows += [text(draw.randrange(100), draw.choice([2, 3, 9, 10])) for _ in range(30)]
+    df = spark.createDataFrame([(k if k % 9 else None, t, 5) for k, t in enumerate(rows)], "doc_id bigint, text string, spans int").repartition(5)
+    want = check_spans(df, width, crowd)
+    assert sum(bool(w[2]) for w in want) > 30
+
+
+def test_op13_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    raw = [r.text.encode() for r in docs]
+    want = [(r.doc_id, len(t), sum(n for _, n in spans), len(spans), hashlib.sha256(kept).hexdigest()) for r, t, (spans, kept) in zip(docs, raw, brute.repeats(raw, 200), strict=True)]
+    rows = queries.op13_repeated_windows(spark, SMALL).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, rows)) == sorted(want)
+    assert sum(w[2] > 0 for w in want) > 10
+
+
+def test_repeated_windows_of_odd_rows(spark, odd):
+    check_spans(odd, 200, 4096)
+    assert repeated_windows.repeated_windows(odd.filter("1 = 0")).count() == 0
+    twice = odd.filter("doc_id in (1, 6, 7)").union(odd.filter("doc_id = 7"))
+    check_spans(twice, 20, 4096)
+    kept = repeated_windows.without_repeats(odd, 20)
+    assert kept.columns == odd.columns
+    raw = [(r.text or "").encode() for r in odd.collect()]
+    assert sorted(bytes(r.text) for r in kept.collect()) == sorted(k for _, k in brute.repeats(raw, 20))

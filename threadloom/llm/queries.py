@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, licenses, mixing, near_dups, ngram_ratio, periodic_runs, prefix_trie, revisits, secret_scan, token_counts, url_filter, weak_quality
+from threadloom.llm import decontaminate, licenses, mixing, near_dups, ngram_ratio, periodic_runs, prefix_trie, repeated_windows, revisits, secret_scan, token_counts, url_filter, weak_quality
 from threadloom.llm.common import table
 
 # The rules of the URL query.
@@ -235,12 +235,18 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeated_windows.repeated_windows(table(spark, folder, "documents"))
+    total = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.length)
+    return found.select("doc_id", "n_bytes", total.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_revisits, op3_licenses, op4_secrets, op5_weak_quality,
         op6_ngram_ratio, op7_decontamination, op8_url_filter, op9_mixing, op10_near_dups,
-        op11_prefix_trie, op12_periodic_runs,
+        op11_prefix_trie, op12_periodic_runs, op13_repeated_windows,
     )
 }
 SQL: dict[str, str] = {"op2_revisits": OP2_SQL, "op8_url_filter": OP8_SQL, "op11_prefix_trie": OP11_SQL}
