@@ -75,11 +75,11 @@ def numbered_turns(conversations: DataFrame, conv: str = "conv_id", turn: str =
     return placed.join(whole, "conv_id").select("conv_id", (F.col("_id") - F.col("_start")).alias("position"), "n_turns", "digest", "words")
 
 
-def share_openings(turns: DataFrame, opening: Column, base: Column) -> tuple[DataFrame, DataFrame]:
+def share_openings(turns: DataFrame, opening: Column, most: int, base: Column) -> tuple[DataFrame, DataFrame]:
     """Turns and members of conversations whose first turns are replaced by those of another.
 
-    Of each conversation the first ``opening`` turns (a small number; an
-    expression of ``conv_id``) go, and the first ``opening`` ones of
+    Of each conversation the first ``opening`` turns (an expression of
+    ``conv_id``, ``most`` at most) go, and the first ``opening`` ones of
     conversation ``base`` come in their place, as far as there are any.
     """
     turns = turns.withColumn("_h", opening)
@@ -88,8 +88,7 @@ def share_openings(turns: DataFrame, opening: Column, base: Column) -> tuple[Dat
     joined = own.join(bases, "_base", "left")
     came = F.least("_h", F.coalesce("_there", F.lit(0)))
     members = cut_lineage(joined.select("conv_id", "_h", "_base", came.alias("_came"), (F.greatest(F.col("_own") - F.col("_h"), F.lit(0)) + came).alias("n_turns")))
-    most = members.agg(F.max("_h").alias("m"))
-    first = turns.select(F.col("conv_id").alias("_base"), "position", "digest", "words").join(F.broadcast(most), F.col("position") < F.col("m")).drop("m")
+    first = turns.filter(F.col("position") < most).select(F.col("conv_id").alias("_base"), "position", "digest", "words")
     heads = first.join(members, "_base").filter(F.col("position") < F.col("_h")).select("conv_id", "position", "n_turns", "digest", "words")
     rest = (
         turns.drop("n_turns", "_h")

@@ -164,7 +164,7 @@ def op10_near_dups(spark: SparkSession, folder: str) -> DataFrame:
 def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns = prefix_trie.numbered_turns(table(spark, folder, "conversations"))
     conv = F.col("conv_id")
-    return prefix_trie.trie_nodes(*prefix_trie.share_openings(turns, F.crc32(conv.cast("string")) % 4, conv - conv % 20))
+    return prefix_trie.trie_nodes(*prefix_trie.share_openings(turns, F.crc32(conv.cast("string")) % 4, 3, conv - conv % 20))
 
 
 def _crc_steps(byte: int) -> int:
