@@ -35,7 +35,7 @@ from threadloom.session import cut_lineage
 
 WIDTH = 200
 #: Different blocks of a mark that one task may gather.
-CROWD = 4_096
+CROWD = 512
 #: Bytes that one step of a task holds: texts, or blocks of whole marks.
 STEP_BYTES = 1 << 21
 #: Rows of windows compared at once with the smallest fingerprint.
@@ -268,7 +268,7 @@ def _counted_regions(regions: DataFrame, width: int) -> DataFrame:
 
     one = regions.filter("crowded").dropDuplicates(["gram", "name"])
     windows = one.mapInArrow(run, "digest binary, gram bigint, name bigint, rid bigint, lone boolean, place int")
-    again = windows.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    again = cut_lineage(windows.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
     return windows.filter("lone").join(again, "digest").groupBy("rid", "gram", "name").agg(F.collect_list("place").alias("places"))
 
 
@@ -376,7 +376,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", t
     """
     if width < 2:
         raise ValueError("width must be 2 bytes at least")
-    spans = repeated_spans(_hashed(docs, text), width, crowd)
+    # written first, so that the join is between plain tables and Spark can split a text with many copies
+    spans = cut_lineage(repeated_spans(_hashed(docs, text), width, crowd))
     body = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(docs[key], F.sha2(body.cast("binary"), 256).alias("_hash"), F.octet_length(body).cast("bigint").alias("n_bytes"))
     none = F.array().cast(spans.schema["spans"].dataType)
@@ -392,7 +393,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, text: str = "text", cro
     become empty.
     """
     name = "_" + "_".join(docs.columns)  # no given column has this name
-    spans = repeated_spans(_hashed(docs, text), width, crowd).select(F.col("hash").alias(name), F.col("spans").alias(f"{name}s"))
+    spans = cut_lineage(repeated_spans(_hashed(docs, text), width, crowd).select(F.col("hash").alias(name), F.col("spans").alias(f"{name}s")))
     body = F.coalesce(docs[text], F.lit("")).cast("binary")
     rows = docs.withColumns({text: body, name: F.sha2(body, 256)}).join(spans, name, "left")
     at = F.col(f"{name}s")
