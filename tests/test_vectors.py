@@ -11,6 +11,7 @@ from threadloom.operators import hierarchy as hi
 from threadloom.operators import joins as jn
 from threadloom.operators import neighbors as nb
 from threadloom.operators import reduction as rd
+from threadloom.operators import ward as wd
 
 
 @pytest.fixture(scope="module")
@@ -153,11 +154,49 @@ def test_average_linkage_against_brute_force():
     assert np.allclose([h for _, _, h in hi.merge_tree(cost, np.ones(25), "average")], heights)
 
 
-@pytest.mark.parametrize("micro", [1000, 40])
-def test_agglomerative(planted, micro):
+def ward_heights(x, w):
+    """Plain one-by-one Ward: heights, and the groups before the last k - 1 merges."""
+    x, w, groups, out = list(x), list(w), [[i] for i in range(len(x))], []
+    snapshots = {len(x): [sorted(g) for g in groups]}
+    while len(x) > 1:
+        a, b = np.array(x), np.array(w, dtype=float)
+        cost = ((a[:, None] - a[None]) ** 2).sum(-1) * (b[:, None] * b) / (b[:, None] + b)
+        np.fill_diagonal(cost, np.inf)
+        i, j = sorted(divmod(int(cost.argmin()), len(x)))
+        out.append(cost[i, j])
+        x[i], w[i], groups[i] = (a[i] * b[i] + a[j] * b[j]) / (b[i] + b[j]), w[i] + w[j], groups[i] + groups[j]
+        del x[j], w[j], groups[j]
+        snapshots[len(x)] = [sorted(g) for g in groups]
+    return out, snapshots
+
+
+@pytest.mark.parametrize(("n", "block"), [(300, 2_048), (80, 24)])
+def test_ward_equals_the_one_by_one_method(spark, n, block):
+    """In one cell, and in so many that cells, lookups and joins all take part; some points are repeated."""
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=(n, 3)) + 4 * rng.integers(0, 3, (n, 1)), 3)
+    rows = [(i, x[i].tolist()) for i in range(n)] + [(n + i, x[0 if i < 9 else i].tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>").repartition(5)
+    weights = [1 + 9 * (i == 0) + (9 <= i < 20) for i in range(n)]
+    heights, groups = ward_heights(x, weights)
+    points = df.groupBy(F.col("embedding").alias("v")).agg(F.min("doc_id").alias("node"), F.count("*").alias("w"))
+    merges = wd.ward_merges(points, block).persist()
+    assert np.allclose(sorted(r.height for r in merges.collect()), sorted(heights))
+    for k in (1, 4, 11):
+        topics = {}
+        for r in wd.cut_merges(points, merges, k).collect():
+            topics.setdefault(r.topic, []).append(r.node)
+        assert sorted(map(sorted, topics.values())) == sorted(groups[k])
+        assert [min(topics[t]) for t in sorted(topics)] == sorted(min(g) for g in groups[k])
+
+
+def test_agglomerative(planted):
     inner = planted.filter("truth >= 0")
-    got = cl.agglomerative(inner, 4, micro).join(inner, "doc_id").select("truth", "topic").distinct().collect()
+    got = cl.agglomerative(inner, 4).join(inner, "doc_id").select("truth", "topic").distinct().collect()
     assert len(got) == 4
+    one = planted.limit(1)
+    assert [tuple(r) for r in cl.agglomerative(one, 3).select("topic").collect()] == [(0,)]
+    assert cl.agglomerative(planted.filter("1 = 0"), 3).count() == 0
 
 
 def test_kmeans_is_repeatable_and_nearest(planted):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import vectors as vx
-from threadloom.operators import hierarchy
+from threadloom.operators import ward
 from threadloom.operators.components import connected_components
 from threadloom.operators.counting import mean_vectors
 from threadloom.operators.joins import vector_similarity
@@ -33,34 +33,16 @@ def kmeans(vectors: DataFrame, k: int = 50, seed: int = 42, max_iter: int = 20)
     return model.transform(rows).select("doc_id", F.col("topic").cast("int").alias("topic"))
 
 
-def agglomerative(vectors: DataFrame, k: int = 50, micro: int = 1_000, seed: int = 42) -> DataFrame:
-    """Ward clustering.
+def agglomerative(vectors: DataFrame, k: int = 50, block: int = ward.BLOCK) -> DataFrame:
+    """Ward clustering into ``k`` topics, numbered by their smallest document.
 
-    Up to ``micro`` distinct vectors are merged exactly.  Larger inputs are
-    first grouped into ``micro`` weighted centroids with KMeans; documents
-    stay distributed and follow their centroid.
+    Equal vectors are one weighted point.  Exact at every size; ``block``
+    (clusters compared in one task) changes no result.
     """
-    micro = min(micro, hierarchy.MAX_NODES)
-    rows = vectors.select("doc_id", vx.as_doubles(F.col("embedding")).alias("v"))
+    rows = cut_lineage(vectors.select("doc_id", vx.as_doubles(F.col("embedding")).alias("v")))
     points = cut_lineage(rows.groupBy("v").agg(F.min("doc_id").alias("node"), F.count("*").alias("w")))
-    if points.count() > micro:
-        placed = cut_lineage(kmeans(vectors, micro, seed))
-        member = placed.select("doc_id", F.col("topic").cast("bigint").alias("node"))
-        sizes = placed.groupBy(F.col("topic").cast("bigint").alias("node")).agg(F.count("*").alias("w"))
-        centres = mean_vectors(
-            rows.join(member, "doc_id").select("node", "v"), "node", "v", "v"
-        )
-        points = sizes.join(centres, "node")
-    else:
-        member = rows.join(points.select("v", "node"), "v").select("doc_id", "node")
-    keys, x, w = hierarchy.collect_nodes(points, "node", "v", "w")
-    merges = hierarchy.merge_tree(hierarchy.ward_cost(x, w), w, "ward")
-    cut = hierarchy.cut_tree(len(keys), merges, k)
-    mapping = vectors.sparkSession.createDataFrame(
-        [(int(a), int(b)) for a, b in zip(keys, cut)], "node bigint, topic int"
-    )
-    # at most MAX_NODES rows
-    return member.join(F.broadcast(mapping), "node").select("doc_id", "topic")
+    placed = ward.cut_merges(points, ward.ward_merges(points, block), k)
+    return rows.join(points.join(placed, "node").select("v", "topic"), "v").select("doc_id", "topic")
 
 
 def mutual_reachability(knn: DataFrame, min_samples: int, id_col: str = "doc_id") -> DataFrame:

@@ -72,7 +72,7 @@ def cluster_vectors(vectors: DataFrame, cfg: TopicJobConfig) -> DataFrame:
     if cfg.clustering is Clustering.kmeans:
         return cl.kmeans(vectors, cfg.n_clusters, cfg.seed)
     if cfg.clustering is Clustering.agglomerative:
-        return cl.agglomerative(vectors, cfg.n_clusters, seed=cfg.seed)
+        return cl.agglomerative(vectors, cfg.n_clusters)
     return cl.density_clusters(vectors, cfg.min_topic_size, cfg.min_samples, cfg.levels)
 
 
