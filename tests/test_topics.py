@@ -16,7 +16,7 @@ from threadloom.operators import representation as rp
 from threadloom.operators import tokens as tk
 from threadloom.operators import weighting as wt
 from threadloom.plans.config import PRESETS, TopicJobConfig
-from threadloom.plans.fit import TopicTables, fit_topics, topics_from_text
+from threadloom.plans.fit import chosen_model, TopicTables, fit_topics, topics_from_text
 from threadloom.plans.job import lda_from_text, relabel_saved, run_topic_job
 from threadloom.streaming.assign import assign_topics
 
@@ -208,6 +208,15 @@ def test_fit_with_labels_zeroshot_and_fewer_topics(spark, planted, fitted):
     assert {r.word for r in few.topic_words.collect()} == {"x"}
 
 
+def test_representation_model_chooses_one_of_several():
+    models = {"gpt4o": str.upper, "mistral-small": str.lower}
+    assert chosen_model(PRESETS["model_labels"], models) is models["mistral-small"]
+    assert chosen_model(PRESETS["plain"].with_options(representation_model="gpt4o"), models) is models["gpt4o"]
+    assert chosen_model(PRESETS["plain"], models) is None and chosen_model(PRESETS["plain"], str.title) is str.title
+    with pytest.raises(ValueError):
+        chosen_model(PRESETS["model_labels"], {"gpt4o": str.upper})
+
+
 def test_topic_job(spark, planted, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

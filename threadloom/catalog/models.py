@@ -78,12 +78,6 @@ def _(spark, d):
     return fitted(spark, d).docs
 
 
-@query("topic_job")
-def _(spark, d):
-    info = fitted(spark, d).topic_info
-    return info.select("topic", "count", "name", F.array_join("words", " ").alias("words"))
-
-
 # LDA --------------------------------------------------------------------------------
 
 

@@ -231,31 +231,45 @@ def _(spark, d):
 # Merges and counts -----------------------------------------------------------
 
 
-@query(
-    "merge_posts",
-    """SELECT role AS forum, conv_id AS thread_title, turn // 4 AS message_nr, string_agg(text, '' ORDER BY turn) AS post_message
-    FROM conversations GROUP BY ALL""",
-)
-def _(spark, d):
-    rows = rg.read_table(spark, d, "conversations").select(
-        F.col("role").alias("forum"),
+def merged_sql(forum: str, keys: str, part_chars: int) -> str:
+    """Merged texts; a text starts a new part after ``part_chars`` characters, each row counted as one more."""
+    return f"""WITH rows AS (SELECT {forum} AS forum, conv_id AS thread_title, turn // 4 AS message_nr, turn, text FROM conversations),
+    placed AS (
+        SELECT *, coalesce(sum(length(text) + 1) OVER (
+            PARTITION BY {keys} ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {part_chars} AS part
+        FROM rows
+    )
+    SELECT {keys}, part, string_agg(text, '' ORDER BY turn) AS post_message FROM placed GROUP BY ALL"""
+
+
+def fragments(spark, d, forum):
+    return rg.read_table(spark, d, "conversations").select(
+        forum.alias("forum"),
         F.col("conv_id").alias("thread_title"),
         F.floor(F.col("turn") / 4).alias("message_nr"),
         "turn",
         F.col("text").alias("post_message"),
     )
-    return mg.merge_posts(rows, ["turn"], number_block("turn")).drop("part")
 
 
-@query(
-    "merge_threads",
-    "SELECT 'chat' AS forum, conv_id AS thread_title, string_agg(text, '' ORDER BY turn) AS post_message FROM conversations GROUP BY ALL",
-)
+@query("merge_posts", merged_sql("role", "forum, thread_title, message_nr", mg.PART_CHARS))
 def _(spark, d):
-    rows = rg.read_table(spark, d, "conversations").select(
-        F.lit("chat").alias("forum"), F.col("conv_id").alias("thread_title"), "turn", F.col("text").alias("post_message")
-    )
-    return mg.merge_threads(rows, order=["turn"], block=number_block("turn")).drop("part")
+    return mg.merge_posts(fragments(spark, d, F.col("role")), ["turn"], number_block("turn"))
+
+
+@query("merge_posts_in_parts", merged_sql("role", "forum, thread_title, message_nr", 300))
+def _(spark, d):
+    return mg.merge_posts(fragments(spark, d, F.col("role")), ["turn"], number_block("turn"), part_chars=300)
+
+
+@query("merge_threads", merged_sql("'chat'", "forum, thread_title", mg.PART_CHARS))
+def _(spark, d):
+    return mg.merge_threads(fragments(spark, d, F.lit("chat")), order=["turn"], block=number_block("turn"))
+
+
+@query("merge_threads_in_parts", merged_sql("'chat'", "forum, thread_title", 500))
+def _(spark, d):
+    return mg.merge_threads(fragments(spark, d, F.lit("chat")), order=["turn"], block=number_block("turn"), part_chars=500)
 
 
 @query(

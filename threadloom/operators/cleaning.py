@@ -87,22 +87,32 @@ def language_filter(df: DataFrame, language: str = "en", column: str = "document
     return detect_language(df, column).filter(F.col("language") == language)
 
 
-def _segments(words: DataFrame, depth: int, length: Column) -> DataFrame:
-    """Add ``_i, _start, _size`` of the ``depth + 1`` even segments of a word of ``length`` letters."""
-    start = F.floor(F.col("_i") * F.col("_len") / (depth + 1)).cast("int")
-    end = F.floor((F.col("_i") + 1) * F.col("_len") / (depth + 1)).cast("int")
-    parts = words.withColumn("_len", length).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    return parts.withColumn("_start", start).withColumn("_size", end - F.col("_start"))
+#: First letters of a word whose deletions are its keys.
+KEY_LETTERS = 7
+
+
+def deletion_keys(word: Column, max_distance: int) -> Column:
+    """What is left of a word's first ``KEY_LETTERS`` letters when up to ``max_distance`` of them are deleted."""
+
+    def without_one(w: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.lit(KEY_LETTERS)), lambda i: i <= F.char_length(w))
+        return F.transform(at, lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.lit(KEY_LETTERS))))
+
+    keys = last = F.array(F.substring(word, 1, KEY_LETTERS))
+    for _ in range(max_distance):
+        last = F.array_distinct(F.flatten(F.transform(last, without_one)))
+        keys = F.array_union(keys, last)
+    return keys
 
 
 def spelling_table(vocabulary: DataFrame, dictionary: DataFrame, max_distance: int = 2) -> DataFrame:
     """Corrections ``(word, corrected, distance)`` for vocabulary words missing from the dictionary.
 
-    A dictionary word is cut into ``max_distance + 1`` even segments.  So many
-    edits leave one of them whole, which then stands in the misspelt word at
-    most ``max_distance`` places off: an equi-join on (length, segment number,
-    segment) finds every candidate, with a number of keys per word that does
-    not depend on its length.  The edit distance is then checked.  Smallest
+    A deletion index: two words within ``max_distance`` edits have a common
+    deletion key, as each edit costs either word one letter at most and letters
+    that an insertion moves past the first ``KEY_LETTERS`` are made up for by
+    it.  Keys are whole beginnings of words less a letter or two, so few words
+    share one.  The edit distance of the pairs is then checked.  Smallest
     distance first, then the most frequent dictionary word, then alphabetical.
 
     Only distinct words are joined, and none that is too long for all of the
@@ -117,22 +127,15 @@ def spelling_table(vocabulary: DataFrame, dictionary: DataFrame, max_distance: i
         .join(dictionary.select("word"), "word", "left_anti")
         .filter((size > 0) & (size <= longest.scalar()))
     )
-    near = unknown.withColumn("_other", F.explode(F.sequence(F.greatest(size - d, F.lit(1)), size + d)))
-    cut = _segments(near, d, F.col("_other"))
-    places = F.sequence(F.greatest(F.col("_start") - d, F.lit(0)), F.least(F.col("_start") + d, size - F.col("_size")))
-    left = (
-        cut.withColumn("_at", F.explode(places))
-        .select("word", "_len", "_i", F.substring("word", F.col("_at") + 1, F.col("_size")).alias("_part"))
-        .distinct()
-    )
-    right = _segments(dictionary.select(F.col("word").alias("candidate"), "n"), d, F.char_length("candidate")).select(
-        "candidate", "n", "_len", "_i", F.substring("candidate", F.col("_start") + 1, F.col("_size")).alias("_part")
+    left = unknown.select("word", F.explode(deletion_keys(F.col("word"), d)).alias("_key"))
+    right = dictionary.select(
+        F.col("word").alias("candidate"), "n", F.explode(deletion_keys(F.col("word"), d)).alias("_key")
     )
-    distance = F.levenshtein(F.col("word"), F.col("candidate"))
+    near = F.abs(size - F.char_length("candidate")) <= d
+    pairs = left.join(right, "_key").filter(near).select("word", "candidate", "n").distinct()
     return (
-        left.join(right, ["_len", "_i", "_part"])
-        .withColumn("distance", distance)
-        .filter(F.col("distance") <= d)
+        pairs.withColumn("distance", F.levenshtein(F.col("word"), F.col("candidate"), d))
+        .filter(F.col("distance") >= 0)
         .groupBy("word")
         .agg(F.min(F.struct("distance", (-F.col("n")).alias("rare"), "candidate")).alias("_best"))
         .select("word", F.col("_best.candidate").alias("corrected"), F.col("_best.distance").cast("bigint").alias("distance"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +59,18 @@ class TopicTables:
         return cls(**tables)
 
 
+def chosen_model(cfg: TopicJobConfig, complete: Callable | Mapping[str, Callable] | None) -> Callable | None:
+    """The labelling model: the given function, or the one that ``representation_model`` names among several."""
+    if not isinstance(complete, Mapping):
+        return complete
+    if cfg.representation_model is None:
+        return None
+    name = cfg.representation_model.value
+    if name not in complete:
+        raise ValueError(f"no model named {name} was given")
+    return complete[name]
+
+
 def reduce_vectors(vectors: DataFrame, cfg: TopicJobConfig) -> DataFrame:
     if cfg.reduction is Reduction.none:
         return vectors
@@ -92,7 +104,7 @@ def fit_topics(
     embedder: Embedder | None = None,
     seeds: DataFrame | None = None,
     zeroshot: DataFrame | None = None,
-    complete: Callable | None = None,
+    complete: Callable | Mapping[str, Callable] | None = None,
     representation: object = None,
     clusterer: cl.Clusterer | None = None,
 ) -> TopicTables:
@@ -100,8 +112,11 @@ def fit_topics(
 
     ``embeddings`` skips the embedder; ``seeds`` ``(seed, vector)`` guides the
     vectors; ``zeroshot`` ``(label, vector)`` names known topics; ``complete``
-    is the labelling model; ``representation`` is a chain of steps.
+    is the labelling model, or several by name, of which
+    ``cfg.representation_model`` chooses one (none: topics keep their words);
+    ``representation`` is a chain of steps.
     """
+    complete = chosen_model(cfg, complete)
     docs = docs.select("doc_id", "document")
     if embeddings is None:
         embeddings = (embedder or hash_embedder(cfg.embedding_dims, list(cfg.stop_words)))(docs)
