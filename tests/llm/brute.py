@@ -188,3 +188,20 @@ def repeats(texts: list[bytes], width: int) -> list[tuple[list[tuple[int, int]],
             i += n
         out.append((spans, bytes(b for b, g in zip(t, gone, strict=True) if not g)))
     return out
+
+
+def ngram_ratios(rows: list[tuple], trusted: set) -> list[float]:
+    """Mean log ratio of words and word pairs, from dictionaries of the counts of all other rows."""
+    grams = []
+    for _, text in rows:
+        words = WORDS.findall(text or "")
+        grams.append(Counter(words) + Counter(zip(words, words[1:])))
+    raw = sum(grams, Counter())
+    target = sum((g for (i, _), g in zip(rows, grams, strict=True) if i in trusted), Counter())
+    out = []
+    for (i, _), g in zip(rows, grams, strict=True):
+        own = g if i in trusted else Counter()
+        rate = (target.total() - own.total()) / max(raw.total() - g.total(), 1)
+        logs = [n * math.log((target[x] - own[x] + 2) / ((raw[x] - n) * rate + 2)) for x, n in g.items()]
+        out.append(sum(logs) / g.total() if g else 0.0)
+    return out

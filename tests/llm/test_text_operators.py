@@ -159,25 +159,36 @@ def test_base_rules_equal_brute_force(spark, docs, odd):
     assert {r.kept != r.base_failed for r in ngram_ratio.quality_rules(docs, empty(labels)).collect()} == {True}
 
 
-def test_ngram_ratio_follows_the_counts(spark):
-    import numpy as np
-
+def test_ngram_ratio_equals_plain_counts(spark):
     rows = [(i, f"good words stand here number {i} and more of them for the text" if i % 2 else f"bad ### junk {i} ### row ### x y z w q r") for i in range(60)]
+    rows += [(None, "no key but good words stand here and more of them for the text"), (3, "good words stand here once more under a key that is known"), (70, "two words")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
-    trusted = docs.filter("doc_id % 4 = 1").select("doc_id")
-    raw, target = np.zeros(1 << 10), np.zeros(1 << 10)
-    words = {i: t.encode().split() for i, t in rows}
-    places = {i: ngram_ratio.buckets(np.array([ngram_ratio.hash_word(w) for w in ws], np.uint64), 1 << 10) for i, ws in words.items()}
-    for i, p in places.items():
-        raw += np.bincount(p, minlength=1 << 10)
-        target += np.bincount(p, minlength=1 << 10) * (i % 4 == 1)
-    share = (raw + 1) / (raw + 1).sum()
-    pull = max(target.sum(), 1) / 1024
-    weight = np.log((target + pull * share) / (target.sum() + pull)) - np.log(share)
-    got = {r.doc_id: r for r in ngram_ratio.quality_rules(docs, trusted, n_buckets=1 << 10).collect()}
-    for i, p in places.items():
-        assert got[i].ratio == pytest.approx(weight[p].mean(), abs=1e-5)
-    assert all(got[i].kept for i in range(60) if i % 2) and not any(got[i].kept for i in range(60) if i % 2 == 0)
+    trusted = docs.filter("doc_id % 4 = 1").select("doc_id").union(spark.createDataFrame([(None,), (1,), (999,)], "doc_id bigint"))
+    want = brute.ngram_ratios(rows, {r.doc_id for r in trusted.collect()} - {None})
+    got = ngram_ratio.quality_rules(docs, trusted, n_buckets=1 << 18).collect()
+    assert sorted((r.doc_id or 0, round(r.ratio, 6)) for r in got) == sorted((i or 0, round(x, 6)) for (i, _), x in zip(rows, want, strict=True))
+    known = sorted(r.ratio for r in got if r.doc_id is not None and r.doc_id % 4 == 1)
+    assert all(r.kept == (not r.base_failed and r.ratio >= known[0] - ngram_ratio.STEP) for r in got if abs(r.ratio - known[0]) > ngram_ratio.STEP)
+    assert all(r.kept for r in got if r.doc_id is not None and r.doc_id < 60 and r.doc_id % 2 and r.n_words == 13), [(r.doc_id, r.ratio, r.n_words) for r in got if not r.kept]
+    assert not any(r.kept for r in got if r.doc_id is not None and r.doc_id % 2 == 0)
+
+
+@pytest.mark.parametrize(("folder", "junk_kept"), [("sf0.001", 0.34), ("sf0.01", 0.1), ("sf0.1", 0.02)])
+def test_ngram_ratio_of_held_out_labels(spark, folder, junk_kept):
+    """Half of the good documents are trusted; the other half must stay all the same, and junk must go.
+
+    The smallest table has three junk documents that pass the base rules, of
+    which one stays; the next has 24, of which two stay.
+    """
+    base = f"/root/testdata/{folder}"
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    trusted = labels.filter("quality = 1 AND toxic = 0").filter(half)
+    found = ngram_ratio.quality_rules(spark.read.parquet(f"{base}/documents.parquet"), trusted)
+    passed = found.filter("not base_failed").join(labels, "doc_id")
+    held = passed.filter("quality = 1 AND toxic = 0").filter(~half).agg(F.avg(F.col("kept").cast("int"))).first()[0]
+    junk = passed.filter("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0] or 0.0
+    assert held >= 0.98 and junk <= junk_kept, (held, junk)
 
 
 @pytest.mark.parametrize("shard", [40, 10**6])

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ASCII_SPACE, Memo, map_texts, slices, texts
+from threadloom.llm.common import ASCII_SPACE, Memo, passes, slices, texts
+from threadloom.session import cut_lineage
 
 SYMBOLS = b"#*$%&|<>"
-#: Hash buckets of the two multinomials, a power of two.
-BUCKETS = 1 << 13
+#: Hash buckets of the two multinomials: a power of two that follows the corpus between these bounds.  Both tables
+#: of counts go to every task (4 MB at most), and a task passes on a count for each bucket it used.
+FEWEST_BUCKETS, MOST_BUCKETS = 1 << 13, 1 << 18
+#: Bytes of text for each bucket, about one for each word.
+BUCKET_BYTES = 8
+#: Counts that a bucket is taken to have besides its own: a few occurrences say little.
+PULL = 2.0
+#: Steps in which ratios are counted to find the threshold.
+STEP = 1e-4
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,28 +80,16 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def likely_among(docs: DataFrame, ids: DataFrame, bits: int) -> DataFrame:
-    """``docs`` (``_key, _text``) less most rows whose key is not among ``ids`` (``_trusted``).
-
-    A bit map of the hashed ids, of ``bits`` bits whatever their number, goes
-    to every task.  A row too many passes where hashes meet, none too few; a
-    join with the ids settles it, and only what passes is shuffled for that.
-    """
-    spot = F.pmod(F.xxhash64("_trusted"), F.lit(bits)) + 1
-    parts = ids.filter(F.col("_trusted").isNotNull()).groupBy(F.bitmap_bucket_number(spot).alias("b"))
-    found = np.zeros(bits // 8, np.uint8)
-    for r in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m")).collect():  # bits / 8 bytes at most
-        found[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
-    shared, schema = docs.sparkSession.sparkContext.broadcast(found), docs.schema
+def marked(docs: DataFrame, spot: Callable[[np.ndarray], np.ndarray], inside: bool) -> DataFrame:
+    """``(_key, _text)`` of the documents whose key passes the bit map (``inside``), or of all others."""
+    rows = docs.select("_key", "_text", F.xxhash64("_key").alias("_spot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = pa.RecordBatch.from_arrays(batch.columns[:2], ["_key", "_text"])
-            yield batch.filter(pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            stay = spot(batch.column(2).to_numpy(zero_copy_only=False)) == inside
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["_key", "_text"]).filter(pa.array(stay))
 
-    return docs.select("_key", "_text", F.pmod(F.xxhash64("_key"), F.lit(bits)).alias("_spot")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def part_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -110,74 +107,119 @@ def part_counts(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.select("_text").mapInArrow(run, "bucket bigint, n bigint")
 
 
-def corpus_counts(docs: DataFrame, trusted: DataFrame, text: str, key: str, n_buckets: int, bits: int = 1 << 26) -> DataFrame:
-    """``(bucket, raw, target)``: n-grams of all documents, and of the trusted ones, by hash bucket."""
-    ids = trusted.select(F.col(key).alias("_trusted")).distinct()
-    both = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
-    known = likely_among(both, ids, bits).join(ids, F.col("_key") == F.col("_trusted"))
-    raw = part_counts(both, n_buckets).withColumn("raw", F.col("n")).withColumn("target", F.lit(0))
-    target = part_counts(known, n_buckets).withColumn("raw", F.lit(0)).withColumn("target", F.col("n"))
-    return raw.union(target).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+def bucket_count(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    n = FEWEST_BUCKETS
+    while n < min(size / BUCKET_BYTES, MOST_BUCKETS):
+        n *= 2
+    return n
 
 
-def log_ratios(counts: DataFrame, n_buckets: int) -> np.ndarray:
-    """log(target share / raw share) of every bucket, smoothed by one raw share of a bucket.
+def table_of(counts: DataFrame, n_buckets: int) -> np.ndarray:
+    """Counts by bucket; ``n_buckets`` rows at most reach the driver, whatever the corpus."""
+    out = np.zeros(n_buckets)
+    rows = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out[rows["bucket"]] = rows["n"]
+    return out
 
-    The table that reaches the driver has ``n_buckets`` rows at most,
-    whatever the corpus.
-    """
-    rows = counts.toPandas()
-    raw, target = np.ones(n_buckets), np.zeros(n_buckets)
-    raw[rows["bucket"]] += rows["raw"]
-    target[rows["bucket"]] += rows["target"]
-    share = raw / raw.sum()
-    # a bucket without trusted n-grams gets the weight of one trusted n-gram in 2**10
-    pull = max(target.sum(), 1.0) / 1024
-    return np.log((target + pull * share) / (target.sum() + pull)) - np.log(share)
 
+def ratio(places: np.ndarray, raw: np.ndarray, target: np.ndarray, totals: tuple[float, float], trusted: bool) -> float:
+    """Mean log ratio of a document's n-grams, from the counts of all other documents.
 
-def quality_rules(
-    docs: DataFrame,
-    trusted: DataFrame,
-    least_ratio: float = -0.06,
-    n_buckets: int = BUCKETS,
-    text: str = "text",
-    key: str = "doc_id",
-) -> DataFrame:
-    """Base counts, the n-gram ratio and the verdict of every row.
+    Each n-gram compares its count in the trusted corpus with the count to be
+    expected there from its share of the raw corpus.
+    """
+    if not len(places):
+        return 0.0
+    used, own = np.unique(places, return_counts=True)
+    all_raw, all_target = totals[0] - len(places), totals[1] - trusted * len(places)
+    expected = (raw[used] - own) * (all_target / max(all_raw, 1.0))
+    return float((np.log((target[used] - trusted * own + PULL) / (expected + PULL)) * own).sum() / len(places))
 
-    Words are runs of bytes other than ASCII white space.  ``ratio`` is the
-    mean over a document's words and word pairs of log(share in the trusted
-    corpus / share in the raw corpus), by hash bucket; ``trusted`` lists the
-    keys of the trusted documents.  A document is kept if no base rule fails
-    and ``ratio >= least_ratio``, a fixed threshold, so the same tables give
-    the same verdicts.  Counts cover all documents.
 
-    Null is a text without words (ratio 0, fails the base rules).  If no key
-    is trusted, every ratio is the same and only base rules decide.  Null
-    keys stay null, repeated rows count and are judged each, other columns
-    are not returned.
-    """
-    weights = log_ratios(corpus_counts(docs, trusted, text, key, n_buckets), n_buckets)
-    shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))  # n_buckets numbers
+def judged(rows: DataFrame, shared: Broadcast, key: str) -> DataFrame:
+    """Base counts and the ratio of ``(_key, _text, _trusted)``."""
+    kind = rows.schema["_key"].dataType.simpleString()
 
-    def make():
-        memo, weight = Memo(hash_word), shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, (raw, target) = Memo(hash_word), shared.value
+        totals = float(raw.sum()), float(target.sum())
 
-        def one(text: str) -> tuple:
+        def one(text: str, trusted: bool) -> tuple:
             data = text.encode()
             words = data.split()
             n = len(words)
             hashes = word_hashes(memo, words)
-            ratio = float(weight[buckets(hashes, n_buckets)].mean(dtype=np.float64)) if n else 0.0
+            value = ratio(buckets(hashes, len(raw)), raw, target, totals, trusted)
             again = repeat_words(words, hashes)
             failed = n < 10 or 100 * again > 20 * n
             chars = len(text) - (len(data) - len(data.translate(None, ASCII_SPACE)))
             symbols = len(data) - len(data.translate(None, SYMBOLS))
-            return n, chars, symbols, duplicate_lines(data), again, failed, ratio, not failed and ratio >= least_ratio
+            return n, chars, symbols, duplicate_lines(data), again, failed, value
+
+        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64()]
+        for batch in slices(batches):
+            out = [one(t, k) for t, k in zip(texts(batch, "_text"), batch.column("_trusted").to_pylist(), strict=True)]
+            columns = zip(*out, strict=True) if out else [[]] * len(NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [key, *NAMES])
 
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept"]
-        return lambda texts: dict(zip(names, map(list, zip(*map(one, texts), strict=True)), strict=True))
+    schema = f"`{key}` {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, ratio double"
+    return rows.select("_key", "_text", "_trusted").mapInArrow(run, schema)
 
-    schema = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, ratio double, kept boolean"
-    return map_texts(docs, make, schema, text, key)
+
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio"]
+
+
+def threshold(ratios: DataFrame, lost: float) -> float:
+    """The largest multiple of ``STEP`` below which at most a share ``lost`` of the ratios lie; without any, everything passes."""
+    # one row for each step between the smallest and the largest mean ratio: some hundred thousand at most
+    steps = sorted((r["s"], r["n"]) for r in ratios.groupBy(F.floor(F.col("ratio") / STEP).alias("s")).agg(F.count("*").alias("n")).collect())
+    most, below = lost * sum(n for _, n in steps), 0
+    for step, n in steps:
+        if below + n > most:
+            return step * STEP
+        below += n
+    return -np.inf
+
+
+def quality_rules(
+    docs: DataFrame,
+    trusted: DataFrame,
+    lost: float = 0.01,
+    n_buckets: int | None = None,
+    text: str = "text",
+    key: str = "doc_id",
+) -> DataFrame:
+    """Base counts, the n-gram ratio and the verdict of every row.
+
+    Words are runs of bytes other than ASCII white space.  ``ratio`` is the
+    mean over a document's words and word pairs of the log of how often the
+    trusted corpus has them, against how often it would at their rate in the
+    raw corpus.  A document is judged by the others: its own n-grams are taken
+    off both counts, so being trusted doesn't speak for it.  ``trusted`` lists
+    the keys of the trusted documents.  A document is kept if no base rule
+    fails and its ratio is not below that of the trusted documents, of which
+    a share ``lost`` (of those that pass the base rules) may fall below.
+    Counts cover all documents; hash buckets grow with them up to
+    ``MOST_BUCKETS``, above which more n-grams share one.
+
+    Null is a text without words (ratio 0, fails the base rules).  If no key
+    is trusted, every ratio is 0 and only base rules decide.  Null keys stay
+    null and are not trusted, repeated rows count and are judged each, other
+    columns are not returned; an empty table gives no rows.
+    """
+    both = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))
+    ids = cut_lineage(trusted.select(F.col(key).alias("_id")).filter(F.col("_id").isNotNull()).distinct().withColumn("_hash", F.xxhash64("_id")))
+    n = n_buckets or bucket_count(both)
+    spot = passes(ids, "_hash")
+    flag = F.col("_id").isNotNull().alias("_trusted")
+    likely = cut_lineage(marked(both, spot, True).join(ids, F.col("_key") == F.col("_id"), "left").select("_key", "_text", flag))
+    raw = table_of(part_counts(both, n), n)
+    target = table_of(part_counts(likely.filter("_trusted"), n), n)
+    shared = docs.sparkSession.sparkContext.broadcast((raw, target))
+    own = cut_lineage(judged(likely, shared, "_key"))
+    known = own.join(ids, F.col("_key") == F.col("_id"), "left_semi")
+    least = threshold(known.filter("not base_failed"), lost)
+    rest = judged(marked(both, spot, False).withColumn("_trusted", F.lit(False)), shared, "_key")
+    rows = rest.unionByName(own)
+    return rows.select(F.col("_key").alias(key), *NAMES, (~F.col("base_failed") & (F.col("ratio") >= F.lit(float(least)))).alias("kept"))
