@@ -213,7 +213,8 @@ def quality_rules(
     n = n_buckets or bucket_count(both)
     spot = passes(ids, "_hash")
     flag = F.col("_id").isNotNull().alias("_trusted")
-    likely = cut_lineage(marked(both, spot, True).join(ids, F.col("_key") == F.col("_id"), "left").select("_key", "_text", flag))
+    # merged at every size: the number of trusted keys has no bound
+    likely = cut_lineage(marked(both, spot, True).join(ids.hint("merge"), F.col("_key") == F.col("_id"), "left").select("_key", "_text", flag))
     raw = table_of(part_counts(both, n), n)
     target = table_of(part_counts(likely.filter("_trusted"), n), n)
     shared = docs.sparkSession.sparkContext.broadcast((raw, target))
