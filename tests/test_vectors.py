@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import planted_groups
+from threadloom.operators import approximate as ap
 from threadloom.operators import charts as ch
 from threadloom.operators import clustering as cl
 from threadloom.operators import components as cp
@@ -65,6 +66,27 @@ def test_knn_with_a_pile_of_copies(spark, monkeypatch):
     assert found(nb.knn_join(few, 10)) == brute_knn(few, 10)
 
 
+@pytest.mark.parametrize(("folder", "block"), [("sf0.01", 64), ("sf0.1", 256)])
+def test_approximate_neighbours_reach_their_recall(spark, folder, block):
+    """Against all pairs, on vectors without much structure; distances are exact and lists complete."""
+    df = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").withColumnRenamed("vec_id", "doc_id")
+    want = brute_knn(df, 10)
+    got = found(ap.approximate_knn(df, 10, block=block))
+    assert got.keys() == want.keys() and all(len(g) == 10 and len(set(g)) == 10 for g in got.values())
+    recall = np.mean([len(set(got[i]) & set(want[i])) / 10 for i in want])
+    assert recall >= 0.9, recall
+
+
+def test_approximate_neighbours_of_copies_and_few_rows(spark, planted):
+    rows = [(i, [float(i % 5 == 0), float(i % 3), 1.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>").repartition(4)
+    assert found(ap.approximate_knn(df, 4)) == brute_knn(df, 4)
+    assert found(ap.approximate_knn(df.filter("doc_id < 3"), 5)) == brute_knn(df.filter("doc_id < 3"), 5)
+    assert ap.approximate_knn(df.filter("1 = 0"), 3).count() == 0
+    want, got = brute_knn(planted, 6, "cosine"), found(ap.approximate_knn(planted, 6, metric="cosine", block=50))
+    assert np.mean([len(set(got[i]) & set(want[i])) / 6 for i in want]) >= 0.95
+
+
 def test_fuzzy_graph_reaches_its_target(planted):
     k = 8
     knn = nb.knn_join(planted, k).toPandas()

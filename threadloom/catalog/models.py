@@ -12,6 +12,7 @@ from threadloom.operators import counting as ct
 from threadloom.operators import hierarchy as hi
 from threadloom.operators import lda
 from threadloom.operators import reduction as rd
+from threadloom.operators.approximate import approximate_knn
 from threadloom.operators.ranking import split_corpus
 from threadloom.plans.config import TopicJobConfig
 from threadloom.plans.fit import fit_topics
@@ -31,6 +32,11 @@ def _(spark, d):
     return flat(rd.neighbor_embed(rg.vectors(spark, d), 5, 15))
 
 
+@query("approximate_neighbors")
+def _(spark, d):
+    return approximate_knn(rg.vectors(spark, d), 10)
+
+
 @query("kmeans")
 def _(spark, d):
     return cl.kmeans(rg.vectors(spark, d), 50)

@@ -75,7 +75,7 @@ def reduce_vectors(vectors: DataFrame, cfg: TopicJobConfig) -> DataFrame:
     if cfg.reduction is Reduction.none:
         return vectors
     if cfg.reduction is Reduction.umap:
-        return neighbor_embed(vectors, cfg.n_components or 5, cfg.n_neighbors)
+        return neighbor_embed(vectors, cfg.n_components or 5, cfg.n_neighbors, approximate=cfg.approximate_neighbors)
     return pca(vectors, cfg.n_components or 10)
 
 
