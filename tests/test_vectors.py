@@ -12,6 +12,7 @@ from threadloom.operators import hierarchy as hi
 from threadloom.operators import joins as jn
 from threadloom.operators import neighbors as nb
 from threadloom.operators import reduction as rd
+from threadloom.operators import spanning as sp
 from threadloom.operators import ward as wd
 
 
@@ -136,6 +137,29 @@ def test_components_of_two_graphs(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("n", "block"), [(250, 2_048), (150, 25)])
+def test_spanning_tree_equals_all_pairs(spark, n, block):
+    """In one block, and over many; a grid part has many equal distances."""
+    rng = np.random.default_rng(n)
+    x = np.concatenate([rng.normal(size=(n - 40, 3)) + 6 * rng.integers(0, 3, (n - 40, 1)), np.array([[i % 8, i // 8, 20.0] for i in range(40)])])
+    core = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 1)[:, 4]
+    weights = np.maximum(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), np.maximum(core[:, None], core[None, :]))
+    inside, total = {0}, []
+    reach = weights[0].copy()
+    while len(inside) < n:
+        reach[list(inside)] = np.inf
+        k = int(reach.argmin())
+        total.append(reach[k])
+        inside.add(k)
+        reach = np.minimum(reach, weights[k])
+    df = spark.createDataFrame([(i, x[i].tolist(), float(core[i])) for i in range(n)], "id bigint, v array<double>, core double").repartition(4)
+    got = sp.spanning_tree(df, block).collect()
+    assert len(got) == n - 1 and np.allclose(sorted(r.weight for r in got), sorted(total))
+    assert all(r.src < r.dst and abs(weights[r.src, r.dst] - r.weight) < 1e-9 for r in got)
+    edges = spark.createDataFrame([(r.src, r.dst) for r in got], "src bigint, dst bigint")
+    assert cp.connected_components(edges, df.select("id")).select("label").distinct().count() == 1
+
+
 def test_density_clusters(planted):
     got = cl.density_clusters(planted, 20, 5).join(planted.select("doc_id", "truth"), "doc_id").toPandas()
     assert len(got) == 428

@@ -16,6 +16,7 @@ from threadloom.operators.components import connected_components
 from threadloom.operators.counting import mean_vectors
 from threadloom.operators.joins import vector_similarity
 from threadloom.operators.neighbors import knn_join
+from threadloom.operators.spanning import BLOCK, spanning_tree
 from threadloom.session import cut_lineage
 
 #: Takes ``(doc_id, embedding)`` and returns ``(doc_id, topic)``; -1 means no topic.
@@ -100,17 +101,18 @@ def density_clusters(
     min_samples: int = 15,
     levels: int = 24,
     allow_single: bool = False,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``(doc_id, topic, strength)``: density clustering over a grid of distance levels, noise is -1.
 
-    The components of the mutual-reachability neighbour graph are found at all
-    levels at once.  A component of at least ``min_topic_size`` documents that
+    The components of the minimum spanning tree of mutual reachability, which
+    are those of the graph of all pairs, are found at all levels at once.  A component of at least ``min_topic_size`` documents that
     splits into two or more of that size ends there; the most stable
     non-overlapping ones are the topics (stability = documents times the range
     of 1/distance over which they hold together).
 
     Equal vectors are one weighted point.  Against the exact hierarchy, levels
-    are discrete and edges beyond the ``min_samples`` nearest are not seen.
+    are discrete.
     """
     if min_topic_size < 2:
         raise ValueError("min_topic_size must be at least 2")
@@ -137,14 +139,8 @@ def density_clusters(
         .select("id", "copies", F.when(F.col("copies") > k, 0.0).otherwise(F.coalesce("_k", "_far")).alias("core"))
     )
     core = cut_lineage(core)
-    pairs = knn.groupBy(F.least("id", "neighbor").alias("src"), F.greatest("id", "neighbor").alias("dst")).agg(
-        F.min("distance").alias("distance")
-    )
-    edges = cut_lineage(
-        pairs.join(core.select(F.col("id").alias("src"), F.col("core").alias("_a")), "src")
-        .join(core.select(F.col("id").alias("dst"), F.col("core").alias("_b")), "dst")
-        .select("src", "dst", F.greatest("_a", "_b", "distance").alias("weight"))
-    )
+    # components at any level are those of the tree's edges up to it, so no edge is missed
+    edges = cut_lineage(spanning_tree(points.select("id", "v").join(core.select("id", "core"), "id"), block))
     grid = level_grid(edges, levels)
     if not grid:
         return rows.select("doc_id", F.lit(-1).alias("topic"), F.lit(0.0).alias("strength"))
