@@ -66,6 +66,22 @@ def test_corpus_chunks_and_concat(spark, width, limit):
     assert "".join(r.text for r in parts) == " ".join(texts)
 
 
+def test_blocks_of_scattered_ids(spark):
+    """Ids spread over 62 bits, null and repeated ones: blocks stay even, and follow the order."""
+    rng = random.Random(4)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(900)] + [None] * 3 + [7] * 5
+    texts = [f"w{i} x" for i in range(len(ids))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, document string").repartition(6)
+    placed = nm.even_blocks(df, "doc_id", 50)
+    sizes = [r["count"] for r in placed.groupBy("_even").count().collect()]
+    assert 15 <= len(sizes) <= 20 and max(sizes) <= 100
+    order = sorted(placed.select("doc_id", "_even").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    assert [r._even for r in order] == sorted(r._even for r in order)
+    rows = tk.corpus_chunks(placed, ["doc_id", "document"], F.col("_even"), words=7).orderBy("chunk").collect()
+    words = " ".join(t for _, t in sorted(zip(ids, texts), key=lambda p: (p[0] is not None, p[0] or 0, p[1]))).split()
+    assert [r.chunk_text for r in rows] == [" ".join(words[i : i + 7]) for i in range(0, len(words), 7)]
+
+
 def test_merge_splits_a_hot_key_without_losing_text(spark):
     rows = [("f", "t", 1, i, f"<{i}>") for i in range(500)] + [("f", "t", 2, 0, "only"), (None, "t", 3, 0, "dropped")]
     posts = spark.createDataFrame(rows, "forum string, thread_title string, message_nr int, seq int, post_message string")

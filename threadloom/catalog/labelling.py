@@ -10,7 +10,7 @@ from threadloom.functions import text as tx
 from threadloom.functions import words as wd
 from threadloom.operators import labelling as lb
 from threadloom.operators import tokens as tk
-from threadloom.operators.numbering import number_block
+from threadloom.operators.numbering import even_blocks
 from threadloom.session import cut_lineage
 
 
@@ -52,7 +52,7 @@ def _(spark, d):
     UNION ALL SELECT chunk // 7, max(chunk % 7) + 2, 'user', md5({literal(wd.PROMPT_SUMMARY_END)}) FROM c GROUP BY 1""",
 )
 def _(spark, d):
-    chunks = cut_lineage(tk.corpus_chunks(rg.documents(spark, d), ["doc_id"], number_block("doc_id")))
+    chunks = cut_lineage(tk.corpus_chunks(even_blocks(rg.documents(spark, d), "doc_id"), ["doc_id"], F.col("_even")))
     return lb.summary_messages(chunks).select("chat", "seq", "role", rg.digest("content").alias("content"))
 
 

@@ -14,7 +14,7 @@ from threadloom.operators import joins as jn
 from threadloom.operators import merging as mg
 from threadloom.operators import ranking as rk
 from threadloom.operators import tokens as tk
-from threadloom.operators.numbering import number_block, sorted_ids
+from threadloom.operators.numbering import even_blocks, sorted_ids
 
 CLEAN_SQL = "translate(" + strip_sql("text") + r", chr(10) || chr(9) || chr(13), '   ')"
 
@@ -243,33 +243,34 @@ def merged_sql(forum: str, keys: str, part_chars: int) -> str:
 
 
 def fragments(spark, d, forum):
-    return rg.read_table(spark, d, "conversations").select(
+    rows = rg.read_table(spark, d, "conversations").select(
         forum.alias("forum"),
         F.col("conv_id").alias("thread_title"),
         F.floor(F.col("turn") / 4).alias("message_nr"),
         "turn",
         F.col("text").alias("post_message"),
     )
+    return even_blocks(rows, "turn")
 
 
 @query("merge_posts", merged_sql("role", "forum, thread_title, message_nr", mg.PART_CHARS))
 def _(spark, d):
-    return mg.merge_posts(fragments(spark, d, F.col("role")), ["turn"], number_block("turn"))
+    return mg.merge_posts(fragments(spark, d, F.col("role")), ["turn"], F.col("_even"))
 
 
 @query("merge_posts_in_parts", merged_sql("role", "forum, thread_title, message_nr", 300))
 def _(spark, d):
-    return mg.merge_posts(fragments(spark, d, F.col("role")), ["turn"], number_block("turn"), part_chars=300)
+    return mg.merge_posts(fragments(spark, d, F.col("role")), ["turn"], F.col("_even"), part_chars=300)
 
 
 @query("merge_threads", merged_sql("'chat'", "forum, thread_title", mg.PART_CHARS))
 def _(spark, d):
-    return mg.merge_threads(fragments(spark, d, F.lit("chat")), order=["turn"], block=number_block("turn"))
+    return mg.merge_threads(fragments(spark, d, F.lit("chat")), order=["turn"], block=F.col("_even"))
 
 
 @query("merge_threads_in_parts", merged_sql("'chat'", "forum, thread_title", 500))
 def _(spark, d):
-    return mg.merge_threads(fragments(spark, d, F.lit("chat")), order=["turn"], block=number_block("turn"), part_chars=500)
+    return mg.merge_threads(fragments(spark, d, F.lit("chat")), order=["turn"], block=F.col("_even"), part_chars=500)
 
 
 @query(
@@ -279,7 +280,7 @@ def _(spark, d):
     SELECT s // 100000 AS part, md5(substr(t, s + 1, 100000)) AS piece, length(substr(t, s + 1, 100000)) AS n_chars FROM parts""",
 )
 def _(spark, d):
-    parts = mg.concat_corpus(rg.documents(spark, d), ["doc_id"], number_block("doc_id"), "document", part_chars=100_000)
+    parts = mg.concat_corpus(even_blocks(rg.documents(spark, d), "doc_id"), ["doc_id"], F.col("_even"), "document", part_chars=100_000)
     return parts.select("part", rg.digest("text").alias("piece"), F.char_length("text").alias("n_chars"))
 
 
@@ -474,7 +475,7 @@ def _(spark, d):
     SELECT chunk, md5(array_to_string(list_slice(w, chunk * 512 + 1, chunk * 512 + 512), ' ')) AS chunk_md5 FROM c""",
 )
 def _(spark, d):
-    chunks = tk.corpus_chunks(rg.documents(spark, d), ["doc_id"], number_block("doc_id"), limit=None)
+    chunks = tk.corpus_chunks(even_blocks(rg.documents(spark, d), "doc_id"), ["doc_id"], F.col("_even"), limit=None)
     return chunks.select("chunk", rg.digest("chunk_text").alias("chunk_md5"))
 
 

@@ -8,14 +8,18 @@ summed up in order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.session import cut_lineage
 
 BLOCK_ROWS = 65_536
+#: Borders of blocks that are looked up for every row.
+MOST_BORDERS = 10_000
 
 
 def file_order(df: DataFrame) -> DataFrame:
@@ -37,10 +41,29 @@ def file_block(rows: int = 16) -> Column:
 
 
 def number_block(order: str, rows: int = BLOCK_ROWS) -> Column:
-    """Block of a row whose order column is a whole number."""
+    """Block of a row whose order column counts up without large gaps."""
     return F.floor(F.col(order) / F.lit(rows))
 
 
+def even_blocks(df: DataFrame, order: str, rows: int = BLOCK_ROWS, name: str = "_even") -> DataFrame:
+    """Add the block of a row by a number column whose values may be spread in any way, such as hashed ids.
+
+    Block borders are quantiles of the column, so a block has about ``rows``
+    rows (more beyond ``MOST_BORDERS`` blocks) unless more rows share a value.
+    Null comes first.  Borders change no result of ``running_start``, only how
+    the work is shared out.
+    """
+    n = df.count()
+    blocks = min(-(-n // rows), MOST_BORDERS)
+    borders = df.approxQuantile(order, [i / blocks for i in range(1, blocks)], 1 / (4 * blocks)) if blocks > 1 else []
+    if not borders:
+        return df.withColumn(name, F.lit(0))
+    splits = [-math.inf, *sorted(set(borders)), math.inf]
+    at = f"{name}_at"
+    placed = df.withColumn(at, F.coalesce(F.col(order).cast("double"), F.lit(-math.inf)))
+    return Bucketizer(splits=splits, inputCol=at, outputCol=name).transform(placed).drop(at)
+
+
 def running_start(
     df: DataFrame,
     value: Column,
