@@ -16,7 +16,7 @@ from threadloom.operators import representation as rp
 from threadloom.operators import tokens as tk
 from threadloom.operators import weighting as wt
 from threadloom.plans.config import PRESETS, TopicJobConfig
-from threadloom.plans.fit import chosen_model, TopicTables, fit_topics, topics_from_text
+from threadloom.plans.fit import TopicTables, chosen_model, fit_topics, topics_from_text
 from threadloom.plans.job import lda_from_text, relabel_saved, run_topic_job
 from threadloom.streaming.assign import assign_topics
 
@@ -275,6 +275,22 @@ def test_lda_parts(planted):
     assert updated.test_topic_words.count() == 180
 
 
+@pytest.mark.parametrize("optimizer", ["online", "em"])
+def test_saved_lda_gives_the_same_topics(spark, planted, tmp_path, optimizer):
+    counts = ct.doc_term_counts(tk.tokenize(planted))
+    out = lda.train_lda(counts, lda.LdaSettings(num_topics=3, random_state=7, optimizer=optimizer, use_partitions=False, min_iterations=5))
+    path = str(tmp_path / "lda")
+    lda.save_lda(out, path)
+    more = counts.unionByName(counts.limit(1).withColumn("word", F.lit("never seen")))
+    again = lda.infer_topics(*lda.load_lda(spark, path), more)
+    one = {(r.doc_id, r.topic): r.weight for r in out.doc_topics.collect()}
+    two = {(r.doc_id, r.topic): r.weight for r in again.collect()}
+    # a loaded EM model starts its inference from other random numbers
+    near = 1e-9 if optimizer == "online" else 0.02
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < near for k in one), max(abs(one[k] - two[k]) for k in one)
+    assert lda.load_lda(spark, str(tmp_path / "none")) is None
+
+
 def test_lda_settings():
     assert lda.LdaSettings(num_topics=2, alpha=0.1).concentration() == [0.1, 0.1]
     assert lda.LdaSettings(num_topics=2, alpha="asymmetric").concentration() == pytest.approx([2 / 3, 1 / 3])

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from threadloom.catalog import registry as rg
 from threadloom.catalog.labelling import first_keyword
+from threadloom.catalog.models import WHOLE, corpus
 from threadloom.catalog.registry import query
 from threadloom.catalog.texts import CLEAN_SQL
 from threadloom.catalog.topics import INFO, topic_info
 from threadloom.operators import counting as ct
 from threadloom.operators import labelling as lb
+from threadloom.operators import lda
 from threadloom.operators import ranking as rk
 from threadloom.operators import representation as rp
 from threadloom.operators.lda import LdaSettings
@@ -130,3 +132,12 @@ def _(spark, d):
 def _(spark, d):
     settings = LdaSettings(num_topics=4, random_state=42, min_iterations=5)
     return job.lda_from_text(spark, text_file(spark, d), settings, stop_words=rg.STOP, min_chars=2, min_df=5, max_df=0.5).top_words
+
+
+@query("lda_saved")
+def _(spark, d):
+    """Topics of the test part from a model that was saved and loaded."""
+    counts = corpus(spark, d)
+    path = folder(spark, "lda")
+    lda.save_lda(lda.train_lda(counts, WHOLE), path)
+    return lda.infer_topics(*lda.load_lda(spark, path), counts.filter("split = 'test'"))
