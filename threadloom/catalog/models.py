@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from threadloom.catalog import registry as rg
@@ -124,7 +126,8 @@ def _(spark, d):
 
 @query("lda_update")
 def _(spark, d):
-    return lda.train_lda(corpus(spark, d), TFIDF.partitioning(True, update_with_test=True)).test_top_words
+    settings = replace(TFIDF, optimizer="variational").partitioning(True, update_with_test=True)
+    return lda.train_lda(corpus(spark, d), settings).test_top_words
 
 
 def counts_model(spark, d, k):
@@ -151,8 +154,13 @@ def _(spark, d):
 
 @query("lda_perplexity")
 def _(spark, d):
-    out = lda.train_lda(corpus(spark, d), WHOLE, perplexity=True)
-    return spark.createDataFrame([(out.log_perplexity,)], "log_perplexity double")
+    return lda.train_lda(corpus(spark, d), replace(WHOLE, optimizer="variational", eval_every=5)).evaluations
+
+
+@query("lda_auto_priors")
+def _(spark, d):
+    settings = replace(WHOLE, optimizer="variational", alpha="auto", eta="auto", iterations=100, gamma_threshold=1e-4)
+    return lda.train_lda(corpus(spark, d), settings).top_words
 
 
 @query("word_cloud_weights")
