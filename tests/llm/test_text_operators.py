@@ -115,6 +115,52 @@ def test_redaction_replaces_every_span(odd):
     assert "Zx9$kQ" not in next(r.text for r in rows if r.doc_id == 13)
 
 
+def test_prose_and_code_are_no_secrets(spark):
+    long = "Zx9$kQ!7vRt2Lm"
+    clean = [
+        "Token: authentication happens first",
+        "auth: description here",
+        "pass: completely through",
+        "passwd: incorrect",
+        'credentials: "see the onboarding document for details"',
+        "token = request.headers.get('x')",
+        'password = os.environ["DB_PASSWORD"]',
+        "password = config.database.password",
+        "secret: ${SERVICE_SECRET} x",
+        'token: "<your access token>"',
+        "apiKey = settings.getApiKey(user, 'production')",
+        'auth: "The session is kept until you close the browser, and then it is removed."',
+    ]
+    secrets = [  # text, value
+        (f'password = decrypt("{long}")', long),
+        (f"token = client.login('admin', '{long}') x", long),
+        ("secret: eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2QT4f x", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF2QT4f"),
+        ('passphrase: "correct horse battery staple"', "correct horse battery staple"),
+        ("pwd=kjhqwzeiuopmvx x", "kjhqwzeiuopmvx"),
+        ("token: q8#Lw(z!Rk2) x", "q8#Lw(z!Rk2"),
+    ]
+    texts = [*clean, *(t for t, _ in secrets)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in secret_scan.scan_secrets(docs).collect():
+        guesses = [s.split(":") for s in r.spans.split(",") if s.startswith("guess")]
+        want = [] if r.doc_id < len(clean) else [secrets[r.doc_id - len(clean)][1]]
+        assert [texts[r.doc_id][int(a) : int(b)] for _, a, b in guesses] == want, texts[r.doc_id]
+    out = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs).collect()}
+    for i, t in enumerate(clean):
+        assert out[i] == t or brute.base_spans(t), t
+
+
+def test_words_of_the_corpus_join_the_dictionary(spark):
+    rows = [(i, "Die Zwischenablage wurde geleert, token: qwxzkvjpfhbtmd 'gzqxwvkp' a1bcdef x") for i in range(3)] + [(3, "Seltenes Wort"), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert secret_scan.corpus_words(docs) == ["die", "geleert", "token", "wurde", "zwischenablage"]
+    assert secret_scan.corpus_words(empty(docs)) == []
+    more = docs.unionByName(spark.createDataFrame([(6, "passwort: x pwd: zwischenablagegeleert x")], "doc_id bigint, text string"))
+    spans = {r.doc_id: r.n_guess for r in secret_scan.scan_secrets(more, vocabulary=None).collect()}
+    # copies of a secret are no word; a value made of the corpus's words is cheap
+    assert spans == {0: 1, 1: 1, 2: 1, 3: 0, 4: 0, 5: 0, 6: 0}
+
+
 def test_values_in_context_are_read_whole(spark):
     long = "Zx9$kQ!7vRt2Lm"
     cases = [  # text, value of the guess span, text without secrets
