@@ -117,6 +117,22 @@ def water_level(sizes, weights, most):
     return [target[i] for i in range(len(sizes))]
 
 
+def test_buckets_of_heavy_and_light_documents(spark):
+    """A source of tables and code has no bucket above 0.26 of a source's documents an octave, as plain text has none."""
+    drawn = spark.range(200_000).select((F.shiftrightunsigned(F.xxhash64("id"), 11) + 0.5).alias("u")).select((-F.log(F.col("u") / float(1 << 53))).alias("e"), F.rand(1).alias("r"))
+    for weight in (F.lit(1.0), F.lit(1 / 17), F.when(F.col("r") < 0.5, 1 / 17).otherwise(1.0), 1 / (1 + 20 * F.col("r"))):
+        sizes = [r["count"] for r in drawn.groupBy(mixing.bucket_of(F.col("e") / weight, F.lit(50))).count().collect()]
+        assert sum(sizes) == 200_000 and max(sizes) < 0.27 * 200_000 / 50 * 1.1
+
+
+def test_sharing_goes_on_until_nothing_is_left(spark):
+    """Sources whose sizes double cap one after another."""
+    sizes = [2**i for i in range(24)] + [2**40]
+    sources = spark.createDataFrame([(f"s{i:02d}", n) for i, n in enumerate(sizes)], "source string, source_size bigint")
+    got = [(r.source_size, r.target) for r in mixing.targets(sources, (5, 2, 1), 3).collect()]
+    assert sum(t for _, t in got) == pytest.approx(sum(sizes)) and all(t <= 3 * n for n, t in got)
+
+
 @pytest.mark.parametrize("bucket", [3, 4096])
 def test_mix_meets_the_targets(spark, odd, bucket, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_DOCS", bucket)

@@ -12,10 +12,8 @@ from threadloom.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 SIGNS = r"[#*$%&|<>!]"
-#: Documents that a bucket of a source has on average; only the bucket at the budget is sorted.
-BUCKET_DOCS = 4096
-#: Most rounds of sharing out what capped sources can't take.
-SHARE_ROUNDS = 200
+#: Documents of a source for each bucket of an octave of keys; only the bucket at the budget is sorted.
+BUCKET_DOCS = 65_536
 
 
 def n_words(text: str) -> Column:
@@ -28,30 +26,40 @@ def quality_weight(text: str) -> Column:
     return 1.0 / (1.0 + 4.0 * signs / F.greatest(F.lit(1), n_words(text)))
 
 
+def bucket_of(key: Column, buckets: Column) -> Column:
+    """Even steps of log2(key), ``buckets`` to the octave.
+
+    -log(u) / w puts at most ln(2) / e = 0.26 of the documents of any weight
+    into an octave, on the scale of logarithms where a weight is only a shift.
+    So a bucket gets 0.26 * ``BUCKET_DOCS`` documents of a source, whatever
+    their weights are.
+    """
+    return F.floor(F.log2(F.greatest(key, F.lit(1e-300))) * buckets)
+
+
 def targets(sources: DataFrame, weights: Sequence[float], most_epochs: float) -> DataFrame:
     """``sources`` (``source, source_size``) with ``target``: shares of all sizes by weight, at most ``most_epochs`` times the size.
 
     Sources in the order of their code points, null last, take the weights in
     turn.  What capped sources leave is shared among the others by weight
-    until none is above its cap; each round is one sum over the sources, and
+    until a round caps no further source; each round is one sum over the sources, and
     only the sums reach the driver.
     """
     placed = sorted_ids(sources, [F.col("source").asc_nulls_last()], "_place")
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("_place") % len(weights) + 1).cast("int"))
     rows = cut_lineage(placed.select("source", "source_size", weight.alias("_weight"), (most_epochs * F.col("source_size")).alias("_cap")))
     total = float(rows.agg(F.sum("source_size")).first()[0] or 0)
-    level = 0.0
-    for _ in range(SHARE_ROUNDS):
+    level, n_capped = 0.0, -1
+    while True:
         capped = F.col("_cap") <= F.col("_weight") * level
         left = rows.agg(
-            F.sum(F.when(capped, F.col("_cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(~capped, F.col("_weight"))).alias("weights")
+            F.sum(F.when(capped, F.col("_cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(~capped, F.col("_weight"))).alias("weights"),
+            F.count(F.when(capped, 1)).alias("n"),
         ).first()
-        if not left["weights"]:
-            break
-        new = (total - left["caps"]) / left["weights"]
-        if new <= level:
+        # the level rises and caps more sources each round, or none
+        if not left["weights"] or left["n"] <= n_capped:
             break
-        level = new
+        n_capped, level = left["n"], max(level, (total - left["caps"]) / left["weights"])
     return rows.select("source", "source_size", F.least("_cap", F.col("_weight") * level).alias("target"))
 
 
@@ -102,8 +110,7 @@ def mix(
         .withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
         .withColumnRenamed("source", "_source")
     )
-    # keys of documents of weight 1 spread evenly over 1 - exp(-key)
-    bucket = F.floor((1 - F.exp(-F.col("_key"))) * F.col("_buckets"))
+    bucket = bucket_of(F.col("_key"), F.col("_buckets"))
     placed = rows.join(goal, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_bucket", bucket)
     sums = placed.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"), F.first("_rest").alias("_rest"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
