@@ -13,7 +13,7 @@ from threadloom.session import cut_lineage
 WORD = r"[^\x20\x09-\x0D]+"
 SIGNS = r"[#*$%&|<>!]"
 #: Documents of a source for each bucket of an octave of keys; only the bucket at the budget is sorted.
-BUCKET_DOCS = 65_536
+BUCKET_DOCS = 4096
 
 
 def n_words(text: str) -> Column:
