@@ -9,10 +9,11 @@ from collections.abc import Iterable, Iterator, Mapping
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import map_texts, sha256, slices
+from threadloom.session import cut_lineage
 
 # The base patterns and the least length of what they match.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -111,13 +112,23 @@ def vocabulary_words(path: str) -> list[str]:
 def corpus_words(docs: DataFrame, text: str = "text") -> list[str]:
     """The words that stand in most documents, most frequent first, ties by the word; at most ``CORPUS_WORDS``.
 
+    The least number of documents is the lowest that no more words than that
+    reach, so words with equal numbers are in or out together and only these
+    words reach the driver.
+
     Words are counted over all documents, once in each, by Spark.  What stands
     where a value begins isn't counted, so a secret with many copies doesn't
     become a word.
     """
     found = F.array_distinct(F.regexp_extract_all(F.lower(docs[text]), F.lit(PLAIN_WORD), F.lit(0)))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCS)
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(CORPUS_WORDS).collect()]
+    counts = cut_lineage(counts)
+    # a row per number of documents
+    above = F.sum("words").over(Window.orderBy(F.desc("n")))
+    least = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", above).filter(F.col("above") <= CORPUS_WORDS).agg(F.min("n")).first()[0]
+    if least is None:
+        return []
+    return [r["word"] for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()]
 
 
 def ranked(*lists: Iterable[str]) -> dict[str, int]:
