@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import LOWERED, Memo, slices, texts
+from threadloom.llm.common import LOWERED, MOST_BITS, Memo, slices, texts
 from threadloom.operators.components import connected_components
 from threadloom.session import cut_lineage
 
@@ -79,6 +79,24 @@ def sketches(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, sketch array<bigint>")
 
 
+def likely_among(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not in ``ids``, which saves shuffling them.
+
+    A bit map of the ids' hashes, 16 bits an id and 32 MB at most in all, is
+    broadcast in pieces of 4 KB.  It lets some others through, beyond some ten
+    million ids more and more, so a join must follow.
+    """
+    bits, n = 1 << 15, ids.count()
+    while bits < 16 * n and bits < MOST_BITS:
+        bits *= 2
+    spot = F.pmod(F.xxhash64(column), F.lit(bits)) + 1
+    piece, at = F.bitmap_bucket_number(spot), F.bitmap_bit_position(spot)
+    pieces = ids.groupBy(piece.alias("_piece")).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_piece", piece).join(F.broadcast(pieces), "_piece")
+    return met.filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).select(rows.columns)
+
+
 def full_sets(docs: DataFrame, classes: DataFrame, size: int, text: str, key: str) -> DataFrame:
     """``(doc_id, shingles)`` of the texts that stand for ``classes`` (``id, digest``), from the texts again."""
 
@@ -91,8 +109,9 @@ def full_sets(docs: DataFrame, classes: DataFrame, size: int, text: str, key: st
             ids = batch.column(0).filter(pa.array(own, pa.bool_()))
             yield pa.RecordBatch.from_arrays([ids, lists_of([s for s, o in zip(sets, own, strict=True) if o])], ["doc_id", "shingles"])
 
-    wanted = classes.select(F.col("id").alias("doc_id"), "digest")
-    source = docs.select(docs[key].alias("doc_id"), docs[text].alias("_text")).join(wanted.hint("shuffle_hash"), "doc_id")
+    wanted = cut_lineage(classes.select(F.col("id").alias("doc_id"), "digest"))
+    source = likely_among(docs.select(docs[key].alias("doc_id"), docs[text].alias("_text")), wanted, "doc_id")
+    source = source.join(wanted.hint("shuffle_hash"), "doc_id")
     kind = source.schema[0].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, shingles array<bigint>")
 
@@ -311,9 +330,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, text: str = "text", key
     """
     # the ids hold for all later readers because they are written down
     rows = cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    found = cut_lineage(near_duplicates(rows, size, text, ROW).select(ROW, "component_id", "kept"))
-    shared = found.filter(~F.col("kept")).select("component_id").distinct()
-    members = found.join(shared, "component_id").join(rows.select(ROW, F.col(key).alias("_key")), ROW)
-    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", ROW)).alias("best"))
-    gone = found.join(shared, "component_id").select(ROW).join(best.select(F.col(f"best.{ROW}").alias(ROW)), ROW, "left_anti")
+    found = cut_lineage(near_duplicates(rows, size, text, ROW).select(ROW, "component_id"))
+    # each row meets its key by its own id; the best of a component is found by partial minima, so no component is a hot key
+    placed = found.select(ROW, "component_id").join(rows.select(ROW, F.col(key).alias("_key")), ROW)
+    first = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", ROW))
+    best = placed.groupBy("component_id").agg(first.alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    gone = found.select(ROW).join(best, ROW, "left_anti")
     return rows.join(gone, ROW, "left_anti").drop(ROW)
