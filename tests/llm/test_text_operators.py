@@ -4,6 +4,7 @@ import random
 
 import brute
 import pytest
+import xxhash
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -350,6 +351,44 @@ def test_quality_agrees_with_held_out_labels(spark, odd):
     assert kept.schema == odd.schema and kept.count() == sum(r.kept for r in rows)
 
 
+def plain_score(text, model):
+    """The scorer word by word, from the kinds of its characters."""
+    words = (text or "").encode().split()
+    total, before = 0.0, None
+    for word in words:
+        kinds = "".join("a" if c >= 128 or chr(c).islower() else "A" if chr(c).isupper() else "0" if chr(c).isdigit() else chr(c) for c in word)
+        runs = "".join(c for i, c in enumerate(kinds) if i == 0 or kinds[i - 1] != c)
+        marks = ["s" + runs, "e" + kinds[-4:]] + ["="] * (word == before)
+        total += sum(model.weights[xxhash.xxh3_64_intdigest(m.encode()) % weak_quality.DIMS] for m in marks)
+        before = word
+    return model.bias + total / len(words) if words else 0.0
+
+
+def test_quality_of_every_row_against_a_plain_scorer(spark, docs):
+    model = weak_quality.fit_quality(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in weak_quality.quality(docs, model).collect():
+        score = plain_score(texts[r.doc_id], model)
+        assert r.score == pytest.approx(score, abs=2e-6)
+        data = (texts[r.doc_id] or "").encode()
+        found = weak_quality.votes(data, data.split())
+        assert (r.n_bad, r.n_good) == (found.count(weak_quality.BAD), found.count(weak_quality.GOOD))
+        assert r.posterior == pytest.approx(model.labels.posterior[weak_quality.code_of(found)], abs=1e-6)
+        if abs(score - weak_quality.LEAST_SCORE) > 1e-5:
+            assert r.kept == (score >= weak_quality.LEAST_SCORE)
+
+
+def test_quality_model_does_not_hang_on_the_order_of_rows(spark, docs):
+    """Half of all rows share a key or have none, with many texts, and all rows come twice."""
+    key = F.when(F.col("doc_id") % 4 == 0, F.lit(None)).when(F.col("doc_id") % 4 == 1, F.lit(7)).otherwise(F.col("doc_id"))
+    rows = docs.withColumn("doc_id", key.cast("bigint"))
+    rows = rows.unionByName(rows)
+    one = weak_quality.fit_quality(rows.repartition(1), fit_docs=150)
+    two = weak_quality.fit_quality(rows.orderBy(F.xxhash64("text", F.lit(1))).repartition(5), fit_docs=150)
+    assert one.bias == two.bias and (one.weights == two.weights).all()
+    assert one.labels.posterior == two.labels.posterior
+
+
 def test_queries_cover_whole_tables(spark, docs):
     for name in ("op1_token_counts", "op4_secrets", "op6_ngram_ratio", "op7_decontamination"):
         out = queries.QUERIES[name](spark, SMALL)

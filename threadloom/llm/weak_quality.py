@@ -71,12 +71,18 @@ def code_of(found: tuple[int, ...]) -> int:
 
 
 def vote_codes(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """``(_key, code)``: the votes of every row as one number."""
+    """``(_key, _hash, code)``: of every row its key, a hash of its text and its votes as one number."""
 
     def make():
         return lambda texts: {"code": [code_of(votes(d := t.encode(), d.split())) for t in texts]}
 
-    return map_texts(docs.select(docs[key].alias("_key"), docs[text].alias("_body")), make, "code bigint", "_body", "_key")
+    found = map_texts(identified(docs, text, key).select(F.struct("_key", "_hash").alias("_row"), "_body"), make, "code bigint", "_body", "_row")
+    return found.select("_row.*", "code")
+
+
+def identified(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """``(_key, _hash, _body)``: rows that agree in the first two are taken as the same document."""
+    return docs.select(docs[key].alias("_key"), F.xxhash64(docs[text]).alias("_hash"), docs[text].alias("_body"))
 
 
 @dataclass
@@ -175,7 +181,10 @@ class QualityModel:
 def fit_quality(docs: DataFrame, fit_docs: int = FIT_DOCS, text: str = "text", key: str = "doc_id") -> QualityModel:
     """Estimate the labellers over all rows, then fit the scorer to posterior labels of ``fit_docs`` rows.
 
-    What reaches the driver: one row a vote pattern, and the scorer's weights.
+    Rows are drawn by the hash of their key, those of one key by the hash of
+    their text; rows that agree in both are scored once, with their number as
+    weight.  What reaches the driver: one row a vote pattern, and the scorer's
+    weights.
     """
     spark = docs.sparkSession
     codes = cut_lineage(vote_codes(docs, text, key))
@@ -183,16 +192,20 @@ def fit_quality(docs: DataFrame, fit_docs: int = FIT_DOCS, text: str = "text", k
     if not model.posterior:
         return QualityModel(model, np.zeros(DIMS), 0.0)
     posterior = spark.createDataFrame(sorted(model.posterior.items()), "code bigint, good double")
-    drawn = codes.orderBy(F.xxhash64("_key"), "_key", "code").limit(fit_docs).join(F.broadcast(posterior), "code")
-    drawn = cut_lineage(drawn.groupBy(F.col("_key").alias("_drawn")).agg(F.avg("good").alias("good")))
+    drawn = codes.orderBy(F.xxhash64("_key"), "_key", "_hash", "code").limit(fit_docs)
     # at most fit_docs rows
-    picked = docs.select(docs[key].alias("_key"), docs[text].alias("_body")).join(F.broadcast(drawn), F.col("_key").eqNullSafe(F.col("_drawn")))
-    table = features(picked, "_body", ["_key", "good"]).limit(4 * fit_docs)
+    drawn = drawn.groupBy(F.col("_key").alias("_k"), F.col("_hash").alias("_h")).agg(F.count("*").alias("n"), F.min("code").alias("code"))
+    drawn = cut_lineage(drawn.join(F.broadcast(posterior), "code").select("_k", "_h", "n", "good"))
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))
+    picked = identified(docs, text, key).join(F.broadcast(drawn), same)
+    picked = picked.groupBy("_key", "_hash").agg(*[F.first(c).alias(c) for c in ("n", "good", "_body")])
+    table = features(picked, "_body", ["_key", "_hash", "n", "good"])
     good = F.least(F.greatest("good", F.lit(0.001)), F.lit(0.999))
     sides = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), good.alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - good).alias("w")))).alias("side")
-    rows = table.select("_key", sides, array_to_vector("features").alias("features")).select("_key", "side.label", "side.w", "features")
+    rows = table.select("_key", "_hash", "n", sides, array_to_vector("features").alias("features"))
+    rows = rows.select("_key", "_hash", "side.label", (F.col("side.w") * F.col("n")).alias("w"), "features")
     # one sorted part of bounded size: sums come out the same each time
-    rows = cut_lineage(rows.repartition(1).sortWithinPartitions("_key", "label", "w"))
+    rows = cut_lineage(rows.repartition(1).sortWithinPartitions("_key", "_hash", "label"))
     fitted = LogisticRegression(weightCol="w", regParam=1e-3, maxIter=60).fit(rows)
     return QualityModel(model, fitted.coefficients.toArray(), float(fitted.intercept))
 
