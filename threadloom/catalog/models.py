@@ -152,6 +152,18 @@ def _(spark, d):
     return lda.train_lda(corpus(spark, d), settings).top_words
 
 
+@query("lda_gibbs")
+def _(spark, d):
+    """Two and three topics by sampling."""
+    out = []
+    for k in (2, 3):
+        settings = lda.LdaSettings(
+            num_topics=k, random_state=42, optimizer="gibbs", weighting="counts", use_partitions=False, min_iterations=20, top_words=15
+        )
+        out.append(lda.train_lda(corpus(spark, d), settings).top_words.select(F.lit(k).alias("k"), "topic", "rank", "word", "beta"))
+    return out[0].unionByName(out[1])
+
+
 @query("lda_perplexity")
 def _(spark, d):
     return lda.train_lda(corpus(spark, d), replace(WHOLE, optimizer="variational", eval_every=5)).evaluations
