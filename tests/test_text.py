@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,17 @@ def test_results_do_not_depend_on_partitioning(spark):
         return sorted((r.topic, r.rank, r.word, round(r.score, 9)) for r in rows), sorted(r.doc_id for r in picked)
 
     assert run(docs.coalesce(1)) == run(docs.orderBy(F.rand(1)).repartition(7))
+
+
+def test_cooccurrence_counts_windows_without_shuffling_them(spark):
+    rows = [(0, "a b a c b x a".split()), (1, "b a".split()), (2, None), (3, []), (4, "a a x b c c a b x x b".split()), (None, ["c", None, "a"])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>")
+    for window in (2, 4, 9):
+        want = Counter()
+        for _, words in rows:
+            for start in range(max(len(words) - window, 0) + 1 if words is not None else 0):
+                met = sorted({w for w in words[start : start + window] if w in ("a", "b", "c")})
+                want.update((one, two) for i, one in enumerate(met) for two in met[i + 1 :])
+        found = ev.cooccurrence(docs, ["a", "b", "c"], window)
+        assert {(r.w1, r.w2): r.n for r in found.collect()} == dict(want)
+        assert "hashpartitioning(words" not in found._jdf.queryExecution().executedPlan().toString()
