@@ -262,6 +262,26 @@ def test_lda_separates_vocabularies(planted, optimizer, weighting):
     assert out.log_perplexity > 0
 
 
+def test_lda_topic_words_do_not_sort_the_vocabulary_on_the_driver(planted, monkeypatch):
+    asked, described = [], lda.LDAModel.describeTopics
+    monkeypatch.setattr(lda.LDAModel, "describeTopics", lambda self, n=10: asked.append(n) or described(self, n))
+    counts = ct.doc_term_counts(tk.tokenize(planted))
+    out = lda.train_lda(counts, lda.LdaSettings(num_topics=3, random_state=7, use_partitions=False))
+    found = {(r.topic, r.term_id): r.beta for r in out.topic_words.collect()}
+    assert asked == [10]
+    want = {(r.topic, t): w for r in described(out.model, 60).collect() for t, w in zip(r.termIndices, r.termWeights, strict=True)}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+    named = {r.term_id: r.word for r in out.vocabulary.collect()}
+    assert [named[i] for i in range(60)] == sorted(named.values())
+
+
+def test_lda_documents_without_known_words_stay(spark):
+    words = spark.createDataFrame([(0, "a"), (1, "b")], "term_id bigint, word string")
+    rows = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, "x", 3), (2, "x", 1), (3, "a", 0)], "doc_id bigint, word string, n bigint")
+    found = {r.doc_id: r.counts.toArray().tolist() for r in lda.counted_vectors(rows, words, 2).collect()}
+    assert found == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+
+
 def test_lda_parts(planted):
     counts = rk.split_corpus(ct.doc_term_counts(tk.tokenize(planted)))
     settings = lda.LdaSettings(num_topics=3, random_state=7)
