@@ -3,6 +3,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from fixtures import planted_vocabulary, tiny
@@ -333,3 +334,19 @@ def test_stream_of_new_documents(spark, fitted, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("doc_id").collect()
     assert [(r.doc_id, r.topic) for r in got] == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_lda_training_vectors_need_no_python(planted):
+    counts = ct.doc_term_counts(tk.tokenize(planted)).persist()
+    tool = lda.Vectorizer(counts, counts, 3)
+    seen = []
+    cut, lda.cut_lineage = lda.cut_lineage, lambda df, *schema: seen.append(df._jdf.queryExecution().toString()) or cut(df, *schema)
+    try:
+        got = tool.training(counts).collect()
+    finally:
+        lda.cut_lineage = cut
+    assert seen and not any("EvalPython" in p for p in seen)
+    want = {r.doc_id: r for r in lda.vb.bags(counts, tool.vocabulary, tool.idf).collect()}
+    assert len(got) == len(want) and [r.doc_id for r in got] == sorted(want)
+    for r in got:
+        assert r.features == SparseVector(tool.size, want[r.doc_id].terms, want[r.doc_id].amounts)
