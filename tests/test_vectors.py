@@ -333,3 +333,23 @@ def test_chart_tables(planted):
     assert ch.topic_map(centres, sizes).count() == 4
     flat = ch.document_map(planted, planted.select("doc_id", F.col("truth").alias("topic")))
     assert flat.columns == ["doc_id", "x", "y", "topic", "name"] and flat.count() == 428
+
+
+@pytest.mark.parametrize("spread", [0.02, 3.0])
+def test_knn_sends_vectors_to_tiles_not_to_blocks(spark, tmp_path, monkeypatch, spread):
+    from threadloom.operators import neighbors as nb
+
+    rng = np.random.default_rng(5)
+    rows = rng.normal(0, 4, (12, 6))[rng.integers(0, 12, 900)] + rng.normal(0, spread, (900, 6))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "rep bigint, v array<double>")
+    monkeypatch.setattr(nb, "BLOCK_VECTORS", 40)
+    sent = []
+    monkeypatch.setattr(nb, "cut_lineage", lambda df, cut=nb.cut_lineage: sent.append(cut(df)) or sent[-1])
+    d = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(2))
+    want = {(i, int(j)) for i in range(900) for j in np.lexsort((np.arange(900), np.round(d[i], 12)))[:6]}
+    for tile in (150, None):
+        found = nb._search(points, 6, tile).collect()
+        assert {(r.q, r.n) for r in found} == want and len(found) == len(want)
+        assert all(r.distance == pytest.approx(d[r.q, r.n], abs=1e-12) for r in found)
+    # no table of vectors is longer than the vectors themselves
+    assert max(t.count() for t in sent if "v" in t.columns) == 900
