@@ -4,6 +4,7 @@ import os
 import numpy as np
 import pytest
 from pyspark.ml.linalg import SparseVector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fixtures import planted_vocabulary, tiny
@@ -19,6 +20,7 @@ from threadloom.operators import weighting as wt
 from threadloom.plans.config import PRESETS, TopicJobConfig
 from threadloom.plans.fit import TopicTables, chosen_model, fit_topics, topics_from_text
 from threadloom.plans.job import lda_from_text, relabel_saved, run_topic_job
+from threadloom.session import cut_lineage
 from threadloom.streaming.assign import assign_topics
 
 
@@ -350,3 +352,26 @@ def test_lda_training_vectors_need_no_python(planted):
     assert len(got) == len(want) and [r.doc_id for r in got] == sorted(want)
     for r in got:
         assert r.features == SparseVector(tool.size, want[r.doc_id].terms, want[r.doc_id].amounts)
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 4, 100])
+def test_join_frequent_is_an_inner_join(spark, most):
+    from threadloom.operators.joins import join_frequent
+
+    rows = spark.createDataFrame([(i, w) for i in range(3) for w in ("a", "b", "c", "d", None)] + [(9, "a"), (9, "a")], "id int, word string")
+    values = cut_lineage(spark.createDataFrame([("a", 1.0, 90), ("b", 2.0, 8), ("c", 3.0, None), ("e", 4.0, 0), (None, 5.0, 7)], "word string, v double, n bigint"))
+    got = sorted(tuple(r) for r in join_frequent(rows, values, ["word"], "n", most).collect())
+    assert got == sorted(tuple(r) for r in rows.join(values.drop("n"), "word").collect())
+
+
+def test_words_of_documents_are_not_shuffled(spark):
+    """Of the words of all documents only those that topics rarely use may be shuffled, none here."""
+    rows = [("t", 10 * k + j, f"w{(k + j * j) % 13}", 1 + j % 3) for k in range(30) for j in range(9)]
+    counts = spark.createDataFrame([(t, d // 10, w, n) for t, d, w, n in rows], "topic string, doc_id bigint, word string, n bigint")
+    counts = counts.groupBy("topic", "doc_id", "word").agg(F.sum("n").alias("n"))
+    full = cut_lineage(counts.withColumn("n_doc", F.sum("n").over(Window.partitionBy("doc_id"))))
+    classes = cut_lineage(rk.class_counts_of(full))
+    weights = wt.ctfidf_of_documents(full, classes)
+    assert "Exchange hashpartitioning" not in weights._jdf.queryExecution().executedPlan().toString()
+    old = wt.ctfidf_of_documents(full.drop("n_doc"), classes)
+    assert {tuple(r) for r in weights.collect()} == {tuple(r) for r in old.collect()}
