@@ -84,7 +84,7 @@ def relabel_saved(
 def lda_from_text(
     spark: SparkSession, path: str, settings: LdaSettings = LdaSettings(), **preprocessing
 ) -> LdaOutput:
-    """LDA over a text file with one document per line."""
+    """LDA over a text file with one document per line, or a folder with parts of one."""
     if readers.path_kind(spark, path) is None:
         raise FileNotFoundError("The specified datapath does not exist")
     counts = preprocess_corpus(readers.read_text_documents(spark, path), **preprocessing)
