@@ -353,3 +353,11 @@ def test_knn_sends_vectors_to_tiles_not_to_blocks(spark, tmp_path, monkeypatch,
         assert all(r.distance == pytest.approx(d[r.q, r.n], abs=1e-12) for r in found)
     # no table of vectors is longer than the vectors themselves
     assert max(t.count() for t in sent if "v" in t.columns) == 900
+
+
+def test_components_of_the_ends_of_edges(spark):
+    """Without a table of nodes the ends of the edges are the nodes; loops and repeated edges change nothing."""
+    edges = [(k + 1, k) for k in range(1, 40)] + [(7, 7), (100, 100), (203, 201), (201, 203), (202, 203), (202, 203)]
+    got = {r.id: r.label for r in cp.connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert got == {k: 1 for k in range(1, 41)} | {100: 100, 201: 201, 202: 201, 203: 201}
+    assert cp.connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0

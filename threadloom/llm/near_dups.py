@@ -171,8 +171,8 @@ def links(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, smaller id first."""
-    return pairs.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct()
+    """The pairs with the smaller id first; the same pair may come from many lists."""
+    return pairs.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2"))
 
 
 def list_pairs(lists: DataFrame) -> DataFrame:
@@ -205,8 +205,8 @@ def star_pairs(lists: DataFrame) -> DataFrame:
 
 
 def block_links(left: pa.Table) -> pa.Table:
-    """Links of a block between its strays and its members, one a stray and component."""
-    ids, labels = left.column("id").to_pylist(), left.column("label").to_pylist()
+    """Pairs of components that some stray and some member of a block link."""
+    labels = left.column("label").to_pylist()
     sets = [np.asarray(x.values) for x in left.column("shingles").combine_chunks()]
     stray = [k for k, s in enumerate(left.column("stray").to_pylist()) if s]
     mate = [k for k, s in enumerate(left.column("stray").to_pylist()) if not s]
@@ -227,18 +227,14 @@ def block_links(left: pa.Table) -> pa.Table:
         shared = np.rint(rows(stray) @ rows(mate).T)
         sizes = np.array([len(s) for s in sets], float)
         linked = 100 * shared >= 80 * (sizes[stray][:, None] + sizes[mate][None, :] - shared)
-        found = {}
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            a, b = stray[i], mate[j]
-            if labels[a] != labels[b]:
-                found.setdefault((a, labels[b]), b)
-        src, dst = [ids[a] for a, _ in found], [ids[b] for b in found.values()]
-    kind = left.schema.field("id").type
+        found = {(labels[stray[i]], labels[mate[j]]): None for i, j in zip(*np.nonzero(linked), strict=True)}
+        src, dst = [a for a, b in found if a != b], [b for a, b in found if a != b]
+    kind = left.schema.field("label").type
     return pa.table({"src": pa.array(src, kind), "dst": pa.array(dst, kind)})
 
 
 def stray_links(lists: DataFrame, full: DataFrame) -> DataFrame:
-    """Links between members of a list that lie in different components.
+    """Pairs ``(src, dst)`` of components with linked members in one list.
 
     The component most of a list belongs to is its main one.  All members that
     meet in lists of one main component are a group, and those outside of it
@@ -262,11 +258,6 @@ def stray_links(lists: DataFrame, full: DataFrame) -> DataFrame:
     return blocks.groupBy("main", "row", "place").applyInArrow(block_links, f"src {kind}, dst {kind}")
 
 
-def components_of(edges: DataFrame) -> DataFrame:
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    return connected_components(edges, nodes)
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, n_shingles, component_id, kept)`` of every row.
 
@@ -306,10 +297,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, text: str = "text", key: str
     twice = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a != b")
     own = known.join(twice.select("doc_id"), "doc_id").join(classes.select("digest", "id"), "digest").select("doc_id", "id")
     edges = own.join(own.groupBy("doc_id").agg(F.min("id").alias("dst")), "doc_id").select(F.col("id").alias("src"), "dst")
-    edges = cut_lineage(edges.union(links(pairs, full)))
-    labelled = hot.join(components_of(edges), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    components = components_of(cut_lineage(edges.union(stray_links(labelled, full))))
-    by_class = classes.select("digest", "id").join(components, "id", "left").select("digest", F.coalesce("label", "id").alias("component_id"))
+    components = connected_components(edges.union(links(pairs, full)))
+    labelled = hot.join(components, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # components grow together over links of strays; a class that nothing was linked with is a component of its own
+    grown = connected_components(stray_links(labelled, full)).select(F.col("id").alias("label"), F.col("label").alias("_top"))
+    own_label = classes.select("digest", "id").join(components, "id", "left").select("digest", F.coalesce("label", "id").alias("label"))
+    by_class = own_label.join(grown, "label", "left").select("digest", F.coalesce("_top", "label").alias("component_id"))
     found = sets.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(by_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select(
