@@ -122,3 +122,21 @@ def test_repeated_windows_of_odd_rows(spark, odd):
     assert kept.columns == odd.columns
     raw = [(r.text or "").encode() for r in odd.collect()]
     assert sorted(bytes(r.text) for r in kept.collect()) == sorted(k for _, k in brute.repeats(raw, 20))
+
+
+@pytest.mark.parametrize(("width", "crowd"), [(200, 4), (64, 1)])
+def test_windows_of_a_common_passage_are_counted_by_piece(spark, monkeypatch, width, crowd):
+    """Many texts with one passage, some cut short or edited near its ends: few of the windows at its ends are counted one by one."""
+    draw = random.Random(width)
+    text = lambda n: "".join(draw.choices("abcdefghijklmnop ", k=n))
+    passage, texts = text(width + 60), []
+    for k in range(60):
+        cut = passage[draw.randrange(12) :] if k % 3 == 0 else passage[: len(passage) - draw.randrange(12)] if k % 3 == 1 else passage
+        texts.append(text(150 + draw.randrange(150)) + cut + text(150 + draw.randrange(150)))
+    counted = []
+    windows = repeated_windows._piece_windows
+    monkeypatch.setattr(repeated_windows, "_piece_windows", lambda pieces, n: counted.append((pieces, windows(pieces, n))) or counted[-1][1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    want = check_spans(df, width, crowd)
+    assert all(w[2] for w in want)
+    assert 0 < counted[0][1].count() < 60 * 2 * 40

@@ -14,8 +14,11 @@ digit is the content of the block: blocks met twice are repeated windows
 throughout.  Only blocks whose mark stands in different surroundings go on,
 as bytes: their windows are sorted by offset and then by eight literal bytes
 a pass, in the task that holds all blocks of the mark.  Marks with more than
-``crowd`` different blocks are not gathered: their windows are counted by
-128-bit digests, combined before they are shuffled.
+``crowd`` different blocks are not gathered: two more digits, compared by
+128-bit digests, split their windows into pieces of ``PIECE`` neighbours, the
+bytes that all windows of a piece share and then all bytes of the piece.  A
+piece met twice is repeated throughout, one that shares its first digit with
+no other ends there, and only windows of the remaining ones are counted.
 """
 
 from __future__ import annotations
@@ -36,8 +39,12 @@ from threadloom.session import cut_lineage
 WIDTH = 200
 #: Different blocks of a mark that one task may gather.
 CROWD = 512
-#: Bytes that one step of a task holds: texts, or blocks of whole marks.
+#: Bytes that one step of a task holds: blocks of whole marks.
 STEP_BYTES = 1 << 21
+#: Bytes of texts whose blocks a task finds at once: some arrays with eight bytes for each stay in a core's cache.
+TEXT_BYTES = 1 << 18
+#: Windows of a piece of a block whose mark is crowded.
+PIECE = 8
 #: Rows of windows compared at once with the smallest fingerprint.
 LOOKUP_ROWS = 4_096
 
@@ -158,13 +165,13 @@ def _big_endian(rows: np.ndarray) -> np.ndarray:
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of batches whose texts have about ``STEP_BYTES``, one row at least."""
+    """Pieces of batches whose texts have about ``TEXT_BYTES``, one row at least."""
     for batch in batches:
         sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             before = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, before + STEP_BYTES)))
+            end = max(start + 1, int(np.searchsorted(sizes, before + TEXT_BYTES)))
             yield batch.slice(start, end - start)
             start = end
 
@@ -254,22 +261,75 @@ def _sorted_regions(regions: DataFrame, width: int) -> DataFrame:
     return rows.repartition("gram").sortWithinPartitions("gram", "name").mapInArrow(run, FOUND)
 
 
-def _counted_regions(regions: DataFrame, width: int) -> DataFrame:
-    """The same for marks with too many blocks to gather: windows are counted by digest, wherever they are."""
+def _pieces(regions: DataFrame, width: int) -> DataFrame:
+    """``(core, whole, gram, name, rid, lone, place, windows, bytes)``: blocks cut where the offset of their mark is a multiple of ``PIECE``.
+
+    ``core`` is the digest of the bytes that windows with the piece's offsets
+    share, also if the block has only some of them; ``whole`` that of all
+    bytes of the piece, and which offsets it has.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for gram, name, rid, lone, windows, data in zip(*(batch.column(c).to_pylist() for c in ("gram", "name", "rid", "lone", "windows", "bytes")), strict=True):
-                rows += [(xxhash.xxh3_128_digest(data[k : k + width]), gram, name, rid, lone, k) for k in range(windows)]
+            for gram, name, rid, lone, lead, windows, data in zip(*(batch.column(f.name).to_pylist() for f in PIECES_OF), strict=True):
+                k = 0
+                while k < windows:
+                    offset = lead - k  # of the mark in window k, falling by one a window
+                    low = offset - offset % PIECE
+                    end = min(windows, lead - low + 1)
+                    # the first window that any block may have here starts low + PIECE - 1 before the mark, the last one low before it
+                    core = data[lead - low : max(lead - low, lead - low - PIECE + 1 + width)]
+                    piece = data[k : end - 1 + width]
+                    head = gram.to_bytes(8, "big", signed=True) + low.to_bytes(4, "big")
+                    whole = xxhash.xxh3_128_digest(head + offset.to_bytes(4, "big") + (end - k).to_bytes(4, "big") + piece)
+                    rows.append((xxhash.xxh3_128_digest(head + core), whole, gram, name, rid, lone, k, end - k, piece))
+                    k = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 9, PIECES, strict=True)], schema=PIECES)
+
+    one = regions.filter("crowded").dropDuplicates(["gram", "name"]).select([f.name for f in PIECES_OF])
+    return one.mapInArrow(run, "core binary, whole binary, gram bigint, name bigint, rid bigint, lone boolean, place int, windows int, bytes binary")
+
+
+PIECES_OF = [REGION.field(f) for f in ("gram", "name", "rid", "lone", "lead", "windows", "bytes")]
+PIECES = pa.schema(
+    [
+        ("core", pa.binary()), ("whole", pa.binary()), ("gram", pa.int64()), ("name", pa.int64()), ("rid", pa.int64()), ("lone", pa.bool_()),
+        ("place", pa.int32()), ("windows", pa.int32()), ("bytes", pa.binary()),
+    ]
+)
+
+
+def _piece_windows(pieces: DataFrame, width: int) -> DataFrame:
+    """``(digest, gram, name, rid, lone, place)`` of the windows of pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for gram, name, rid, lone, place, windows, data in zip(*(batch.column(c).to_pylist() for c in ("gram", "name", "rid", "lone", "place", "windows", "bytes")), strict=True):
+                rows += [(xxhash.xxh3_128_digest(data[k : k + width]), gram, name, rid, lone, place + k) for k in range(windows)]
             kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
             columns = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["digest", "gram", "name", "rid", "lone", "place"])
 
-    one = regions.filter("crowded").dropDuplicates(["gram", "name"])
-    windows = one.mapInArrow(run, "digest binary, gram bigint, name bigint, rid bigint, lone boolean, place int")
-    again = cut_lineage(windows.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"))
-    return windows.filter("lone").join(again, "digest").groupBy("rid", "gram", "name").agg(F.collect_list("place").alias("places"))
+    return pieces.mapInArrow(run, "digest binary, gram bigint, name bigint, rid bigint, lone boolean, place int")
+
+
+def _counted_regions(regions: DataFrame, width: int) -> DataFrame:
+    """The same for marks with too many blocks to gather: pieces of blocks and then windows are counted by digest, wherever they are."""
+    pieces = cut_lineage(_pieces(regions, width))
+    one = F.min(F.struct("gram", "name", "rid", "lone", "place", "windows", "bytes"))
+    kinds = cut_lineage(pieces.groupBy("core", "whole").agg(F.count("*").alias("n"), one.alias("one")))
+    # pieces met twice
+    again = pieces.filter("lone").drop("bytes").join(kinds.filter("n > 1").select("core", "whole"), ["core", "whole"])
+    again = again.select("rid", "gram", "name", F.sequence("place", F.col("place") + F.col("windows") - 1).alias("places"))
+    # what shares its core with other pieces: a piece that was met twice is judged, and only shown to the others
+    mixed = kinds.groupBy("core").agg(F.count("*").alias("wholes")).filter("wholes > 1").select("core")
+    shown = kinds.join(mixed, "core").select("one.*", "n").withColumn("lone", F.col("lone") & (F.col("n") == 1)).drop("n")
+    windows = cut_lineage(_piece_windows(shown, width))
+    twice = windows.groupBy("digest").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    found = windows.filter("lone").join(twice, "digest").select("rid", "gram", "name", F.array("place").alias("places"))
+    return again.unionByName(found).groupBy("rid", "gram", "name").agg(F.flatten(F.collect_list("places")).alias("places"))
 
 
 def _removed(texts: DataFrame, width: int) -> DataFrame:
