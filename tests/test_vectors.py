@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from threadloom.operators import neighbors as nb
 from threadloom.operators import reduction as rd
 from threadloom.operators import spanning as sp
 from threadloom.operators import ward as wd
+from threadloom.session import ensure_checkpoint_dir
 
 
 @pytest.fixture(scope="module")
@@ -236,6 +239,18 @@ def test_ward_equals_the_one_by_one_method(spark, n, block):
         assert [min(topics[t]) for t in sorted(topics)] == sorted(min(g) for g in groups[k])
 
 
+def test_ward_keeps_the_vectors_of_its_last_round_only(spark):
+    """The tables of a round were left in the shared folder, so that it held the vectors once for every table of every round."""
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rng = np.random.default_rng(3)
+    points = spark.createDataFrame([(i, rng.normal(size=3).tolist(), 1) for i in range(120)], "node bigint, v array<double>, w bigint")
+    merges = wd.ward_merges(points, 24)
+    left = [spark.read.parquet(f"{folder}/{name}").columns for name in set(os.listdir(folder)) - before if name.startswith("cut-")]
+    assert len(left) > 2 and sum("v" in columns for columns in left) == 1
+    assert merges.count() == 119 and merges.select("right").distinct().count() == 119
+
+
 def test_agglomerative(planted):
     inner = planted.filter("truth >= 0")
     got = cl.agglomerative(inner, 4).join(inner, "doc_id").select("truth", "topic").distinct().collect()
