@@ -12,7 +12,7 @@ from threadloom.functions import text as tx
 from threadloom.operators import clustering as cl
 from threadloom.operators import counting as ct
 from threadloom.operators import labelling as lb
-from threadloom.operators import lda
+from threadloom.operators import em, lda
 from threadloom.operators import ranking as rk
 from threadloom.operators import representation as rp
 from threadloom.operators import tokens as tk
@@ -314,6 +314,33 @@ def test_saved_lda_gives_the_same_topics(spark, planted, tmp_path, optimizer):
     assert lda.load_lda(spark, str(tmp_path / "none")) is None
 
 
+@pytest.mark.parametrize("weighting", ["counts", "tfidf"])
+def test_em_without_a_graph_finds_what_mllib_finds(spark, planted, weighting, monkeypatch):
+    """MLlib's EM kept and shuffled an edge for each word of each document."""
+    counts = ct.doc_term_counts(tk.tokenize(planted))
+    settings = lda.LdaSettings(num_topics=3, random_state=7, optimizer="em", weighting=weighting, use_partitions=False, min_iterations=6, top_words=9)
+    tool = lda.Vectorizer(counts, counts, 3, weighting)
+    features = tool.training(counts)
+    want = settings.estimator(180).fit(features)
+    monkeypatch.setattr(lda.LDA, "fit", lambda *a: pytest.fail("MLlib was asked"))
+    monkeypatch.setattr(em, "STEP_CELLS", 500)
+    out = lda.train_lda(counts, settings)
+    cells = out.model.topicsMatrix().toArray()
+    assert abs(cells - want.topicsMatrix().toArray()).max() < 1e-6
+    best = {(r.topic, i): (t, b) for r in want.describeTopics(9).collect() for i, (t, b) in enumerate(zip(r.termIndices, r.termWeights, strict=True))}
+    ids = {r.word: r.term_id for r in out.vocabulary.collect()}
+    found = {(r.topic, r["rank"] - 1): (ids[r.word], r.beta) for r in out.top_words.collect()}
+    assert found.keys() == best.keys() and all(abs(found[i][1] - best[i][1]) < 1e-9 for i in best)
+
+
+def test_java_random():
+    random = em.JavaRandom(42)
+    random.STEPS = 4
+    # java.util.Random(42).nextDouble()
+    assert random.doubles(3).tolist() == [0.7275636800328681, 0.6832234717598454, 0.30871945533265976]
+    assert random.doubles(1).tolist() == [0.27707849007413665]
+
+
 def test_lda_settings():
     assert lda.LdaSettings(num_topics=2, alpha=0.1).concentration() == [0.1, 0.1]
     assert lda.LdaSettings(num_topics=2, alpha="asymmetric").concentration() == pytest.approx([2 / 3, 1 / 3])
